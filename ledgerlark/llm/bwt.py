@@ -6,18 +6,19 @@ import numpy as np
 
 from .textblocks import ranges
 
-#: Symbols packed into one key: 9 bits hold a byte or the separator.
-_PACK = 7
 
+def suffix_order(symbols: np.ndarray, depth: int, bits: int = 9) -> np.ndarray:
+    """Positions of the rotations of ``symbols`` (below 2**bits), ordered by their first ``depth`` symbols at least.
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of the rotations of ``symbols`` (0 to 511), ordered by their first ``depth`` symbols at least."""
+    As many symbols as fit into 63 bits are the first key; then each round doubles the
+    length by the ranks found, and sorts what is still tied.
+    """
     n = len(symbols)
     key = np.zeros(n, np.int64)
-    for k in range(_PACK):
-        key = (key << 9) | np.take(symbols, np.arange(k, n + k), mode="wrap")
+    have = 63 // bits
+    for k in range(have):
+        key = (key << bits) | np.take(symbols, np.arange(k, n + k), mode="wrap")
     order = np.argsort(key)
-    have = _PACK
     while True:
         sorted_key = key[order]
         new = np.ones(n, bool)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import quality_rules, simhash_dedup, suffix_dedup
+from . import decontaminate, quality_rules, simhash_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable]:
-    return {"op7_suffix_dedup": suffix_dedup.op7, "op9_simhash_near_dedup": simhash_dedup.op9, "op10_quality_rules": quality_rules.op10}
+    return {"op6_decontaminate": decontaminate.op6, "op7_suffix_dedup": suffix_dedup.op7, "op9_simhash_near_dedup": simhash_dedup.op9, "op10_quality_rules": quality_rules.op10}
 
 
 def oracle_sql() -> dict[str, str]:
