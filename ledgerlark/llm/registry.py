@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, license_scan, quality_rules, simhash_dedup, suffix_dedup, token_count
+from . import decontaminate, license_scan, quality_rules, simhash_dedup, suffix_dedup, token_count, warc
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_license_scan": license_scan.op1, "op4_token_count": token_count.op4, "op6_decontaminate": decontaminate.op6, "op7_suffix_dedup": suffix_dedup.op7, "op9_simhash_near_dedup": simhash_dedup.op9, "op10_quality_rules": quality_rules.op10}
+    return {"op1_license_scan": license_scan.op1, "op2_warc": warc.op2, "op4_token_count": token_count.op4, "op6_decontaminate": decontaminate.op6, "op7_suffix_dedup": suffix_dedup.op7, "op9_simhash_near_dedup": simhash_dedup.op9, "op10_quality_rules": quality_rules.op10}
 
 
 def oracle_sql() -> dict[str, str]:
