@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import only, stored
 
 #: White space between words.
 SPACE = " \t\n\x0b\f\r"
@@ -129,8 +129,8 @@ def judged(signals: DataFrame, cuts: DataFrame, stratum: str, grids: Mapping[str
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """Rows of ``docs`` that the rules keep; thresholds are learnt from those of ``docs`` that ``labels`` covers."""
     need = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(stratum).alias("stratum"))
-    cuts = cutoffs(with_signals(need), labels, "stratum")
-    return judged(with_signals(docs, text), cuts, stratum).where(_c("kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cuts = cutoffs(stored(with_signals(need).drop("text"), "signals"), labels, "stratum")
+    return only(judged(with_signals(docs, text), cuts, stratum), _c("kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,3 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def only(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)`` for a condition on costly columns of the row.
+
+    The optimiser would push a filter below the projections that make them, and compute
+    each anew for every mention; it leaves a generator where it is.
+    """
+    return df.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("__only")).drop("__only")
