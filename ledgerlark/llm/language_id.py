@@ -184,46 +184,52 @@ class Model(NamedTuple):
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MAX_GRAMS) -> Model:
     """A model of all languages named in ``docs``; rows without a language take no part."""
     tables = probabilities(gram_counts(docs, lang, text))
-    kept: list[dict[str, list[tuple]]] = []
-    sizes: dict[str, int] = {}
+    logs, weights = [], []
+    langs: tuple[str, ...] = ()
     for k, t in enumerate(tables, 1):
         # The least count whose strings and all more counted ones are few enough, from a histogram of counts.
         classes = t.groupBy("lang", F.least(F.col("n"), F.lit(100_000)).alias("n")).count().collect()
+        if k == 1:
+            langs = tuple(sorted({r["lang"] for r in classes}))
+            sizes = {x: sum(r["count"] for r in classes if r["lang"] == x) for x in langs}
         least: dict[str, int] = {}
-        for name in sorted({r["lang"] for r in classes}):
-            total, bound = 0, 1
+        for name in langs:
+            total, least[name] = 0, 1
             for n, number in sorted(((r["n"], r["count"]) for r in classes if r["lang"] == name), reverse=True):
                 if (total := total + number) > most:
-                    bound = n + 1
+                    least[name] = n + 1
                     break
-            least[name] = bound
-            sizes[name] = sum(r["count"] for r in classes if r["lang"] == name) if k == 1 else sizes[name]
-        pick = F.coalesce(F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("lang")], F.lit(1)) if least else F.lit(1)
-        rows: dict[str, list[tuple]] = {}
-        for r in t.where(F.col("n") >= pick).select("lang", "gram", "p", "weight").collect():
-            rows.setdefault(r["lang"], []).append((r["gram"], r["p"], r["weight"]))
-        kept.append(rows)
-    langs = tuple(sorted(sizes))
-    logs, weights = [], []
-    for k, rows in enumerate(kept, 1):
+        pick = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("lang")] if least else F.lit(1)
+        held = _hashed(t.where(F.col("n") >= pick), k, langs).toArrow()
+        which, hashes, p, w = (held[c].to_numpy() for c in ("lang", "hash", "p", "weight"))
         logs.append([])
         weights.append([])
-        for name in langs:
-            items = rows.get(name, [])
-            chars = np.frombuffer("".join(g.rjust(ORDER)[-ORDER:] if len(g) == k else "" for g, _, _ in items).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-            hashes = np.zeros(len(items), np.uint64)
-            for j in range(ORDER - k, ORDER):
-                hashes = hashes * _STEP + chars[:, j].astype(np.uint64) + np.uint64(1)
-            hashes = mixed(hashes)
-            turn = np.argsort(hashes)
-            p = np.log(np.array([x for _, x, _ in items], float))[turn]
-            w = np.log(np.array([np.nan if x is None else x for _, _, x in items], float))[turn]
-            logs[-1].append((hashes[turn], p))
-            context = ~np.isnan(w)
-            weights[-1].append((hashes[turn][context], w[context]))
+        for j in range(len(langs)):
+            mine = np.flatnonzero(which == j)
+            mine = mine[np.argsort(hashes[mine].view(np.uint64))]
+            context = mine[~np.isnan(w[mine])]
+            logs[-1].append((hashes[mine].view(np.uint64), p[mine]))
+            weights[-1].append((hashes[context].view(np.uint64), w[context]))
     return Model(uuid.uuid4().hex, langs, logs, weights, -np.log(np.array([sizes[x] + 1.0 for x in langs])))
 
 
+def _hashed(table: DataFrame, k: int, langs: tuple[str, ...]) -> DataFrame:
+    """(lang: its place in ``langs``, hash, log p, log weight): strings leave the executors as numbers only."""
+    place = {x: j for j, x in enumerate(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = b.column(1).to_pylist()
+            chars = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, k)
+            hashes = np.zeros(len(grams), np.uint64)
+            for j in range(k):
+                hashes = hashes * _STEP + chars[:, j].astype(np.uint64) + np.uint64(1)
+            logs = [np.log(b.column(c).cast(pa.float64()).fill_null(math.nan).to_numpy()).astype(np.float32) for c in (2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array([place[x] for x in b.column(0).to_pylist()], pa.int32()), pa.array(mixed(hashes).view(np.int64)), *map(pa.array, logs)], ["lang", "hash", "p", "weight"])
+
+    return table.select("lang", "gram", "p", "weight").mapInArrow(run, "lang int, hash long, p float, weight float")
+
+
 def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes, values = table
     if not len(hashes):
