@@ -39,17 +39,17 @@ def _cont(q: float, by: str = "batch_duration_ms", where: str | None = None):
     return F.expr(f"percentile_cont({q}) WITHIN GROUP (ORDER BY {by})" + (f" FILTER (WHERE {where})" if where else ""))
 
 
-@query(f"""WITH {TELEMETRY} SELECT count(*) AS sample_rows, percentile_cont(0.5) WITHIN GROUP (ORDER BY load_seconds) AS p50_s, percentile_cont(0.95) WITHIN GROUP (ORDER BY load_seconds) AS p95_s FROM progress, now WHERE progress_ts >= t0 - INTERVAL 12 HOUR""")
+@query(f"""WITH {TELEMETRY} SELECT count(*) AS sample_rows, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY load_seconds), 4) AS p50_s, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY load_seconds), 4) AS p95_s FROM progress, now WHERE progress_ts >= t0 - INTERVAL 12 HOUR""")
 def end_to_end_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = newest(spark, sf_dir, "events", "ts")
-    return telemetry(spark, sf_dir).where(F.col("progress_ts") >= back(at, hours=12)).agg(F.count("*").alias("sample_rows"), _cont(0.5, "load_seconds").alias("p50_s"), _cont(0.95, "load_seconds").alias("p95_s"))
+    return telemetry(spark, sf_dir).where(F.col("progress_ts") >= back(at, hours=12)).agg(F.count("*").alias("sample_rows"), F.round(_cont(0.5, "load_seconds"), 4).alias("p50_s"), F.round(_cont(0.95, "load_seconds"), 4).alias("p95_s"))
 
 
-@query(f"""WITH {TELEMETRY} SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY batch_duration_ms) / 1000.0::DOUBLE AS p50_s, percentile_cont(0.95) WITHIN GROUP (ORDER BY batch_duration_ms) / 1000.0::DOUBLE AS p95_s, count(*) AS batches FROM progress, now WHERE query_name = 'gold_transactions' AND num_input_rows > 0 AND progress_ts >= t0 - INTERVAL 24 HOUR""")
+@query(f"""WITH {TELEMETRY} SELECT round(percentile_cont(0.5) WITHIN GROUP (ORDER BY batch_duration_ms) / 1000.0::DOUBLE, 6) AS p50_s, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY batch_duration_ms) / 1000.0::DOUBLE, 6) AS p95_s, count(*) AS batches FROM progress, now WHERE query_name = 'gold_transactions' AND num_input_rows > 0 AND progress_ts >= t0 - INTERVAL 24 HOUR""")
 def micro_batch_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = newest(spark, sf_dir, "events", "ts")
     p = telemetry(spark, sf_dir).where((F.col("query_name") == "gold_transactions") & (F.col("num_input_rows") > 0) & (F.col("progress_ts") >= back(at, hours=24)))
-    return p.agg((_cont(0.5) / F.lit(1000.0)).alias("p50_s"), (_cont(0.95) / F.lit(1000.0)).alias("p95_s"), F.count("*").alias("batches"))
+    return p.agg(F.round(_cont(0.5) / F.lit(1000.0), 6).alias("p50_s"), F.round(_cont(0.95) / F.lit(1000.0), 6).alias("p95_s"), F.count("*").alias("batches"))
 
 
 @query(f"""WITH {SWIPES}, b AS (SELECT unnest(generate_series(time_bucket(INTERVAL 30 MINUTE, t0 - INTERVAL 24 HOUR, TIMESTAMP '2000-01-01'), t0, INTERVAL 30 MINUTE)) AS bucket FROM now), a AS (SELECT time_bucket(INTERVAL 30 MINUTE, event_ts, TIMESTAMP '2000-01-01') AS bucket, count(*) AS n, count(*) FILTER (WHERE is_flagged) AS k FROM swipes, now WHERE event_ts >= t0 - INTERVAL 24 HOUR GROUP BY 1)
@@ -132,14 +132,14 @@ def flagged_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TELEMETRY}, latest AS (SELECT DISTINCT ON (query_name) query_name, progress_ts, watermark, state_rows_total, max_offsets_behind_latest FROM progress ORDER BY query_name, progress_ts DESC, state_rows_total DESC),
-p AS (SELECT query_name, count(*) FILTER (WHERE num_input_rows > 0) AS batches, CAST(sum(num_input_rows) AS BIGINT) AS rows_in, round(avg(processed_rows_per_second) FILTER (WHERE num_input_rows > 0), 0) AS avg_rows_per_s, percentile_cont(0.5) WITHIN GROUP (ORDER BY batch_duration_ms) FILTER (WHERE num_input_rows > 0) AS p50_batch_ms, percentile_cont(0.95) WITHIN GROUP (ORDER BY batch_duration_ms) FILTER (WHERE num_input_rows > 0) AS p95_batch_ms, CAST(coalesce(sum(rows_dropped_by_watermark), 0) AS BIGINT) AS dropped_late_rows FROM progress, now WHERE progress_ts >= t0 - INTERVAL 7 DAY GROUP BY 1)
+p AS (SELECT query_name, count(*) FILTER (WHERE num_input_rows > 0) AS batches, CAST(sum(num_input_rows) AS BIGINT) AS rows_in, round(avg(processed_rows_per_second) FILTER (WHERE num_input_rows > 0), 0) AS avg_rows_per_s, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY batch_duration_ms) FILTER (WHERE num_input_rows > 0), 4) AS p50_batch_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY batch_duration_ms) FILTER (WHERE num_input_rows > 0), 4) AS p95_batch_ms, CAST(coalesce(sum(rows_dropped_by_watermark), 0) AS BIGINT) AS dropped_late_rows FROM progress, now WHERE progress_ts >= t0 - INTERVAL 7 DAY GROUP BY 1)
 SELECT p.*, max_offsets_behind_latest AS kafka_lag, state_rows_total, watermark, progress_ts AS last_progress FROM p JOIN latest USING (query_name)""")
 def pipeline_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's week with its latest state; the latest row is a maximum by time, in the same grouping."""
     at = newest(spark, sf_dir, "events", "ts")
     p = telemetry(spark, sf_dir)
     latest = p.groupBy("query_name").agg(F.max_by(F.struct("max_offsets_behind_latest", "state_rows_total", "watermark", "progress_ts"), F.struct("progress_ts", "state_rows_total")).alias("l"))
-    per = p.where(F.col("progress_ts") >= back(at, days=7)).groupBy("query_name").agg(count_if(F.col("num_input_rows") > 0).alias("batches"), F.sum("num_input_rows").alias("rows_in"), F.round(F.avg(F.when(F.col("num_input_rows") > 0, F.col("processed_rows_per_second"))), 0).alias("avg_rows_per_s"), _cont(0.5, where="num_input_rows > 0").alias("p50_batch_ms"), _cont(0.95, where="num_input_rows > 0").alias("p95_batch_ms"), F.coalesce(F.sum("rows_dropped_by_watermark"), F.lit(0)).alias("dropped_late_rows"))
+    per = p.where(F.col("progress_ts") >= back(at, days=7)).groupBy("query_name").agg(count_if(F.col("num_input_rows") > 0).alias("batches"), F.sum("num_input_rows").alias("rows_in"), F.round(F.avg(F.when(F.col("num_input_rows") > 0, F.col("processed_rows_per_second"))), 0).alias("avg_rows_per_s"), F.round(_cont(0.5, where="num_input_rows > 0"), 4).alias("p50_batch_ms"), F.round(_cont(0.95, where="num_input_rows > 0"), 4).alias("p95_batch_ms"), F.coalesce(F.sum("rows_dropped_by_watermark"), F.lit(0)).alias("dropped_late_rows"))
     return per.join(latest, "query_name").select(*per.columns, F.col("l.max_offsets_behind_latest").alias("kafka_lag"), F.col("l.state_rows_total"), F.col("l.watermark"), F.col("l.progress_ts").alias("last_progress"))
 
 

@@ -141,9 +141,9 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_windows(swipes(spark, sf_dir), ["merchant_key"], "event_ts", "5 hours", "1 hour", [F.count("*").alias("n"), F.sum("amount_usd").cast(_D).alias("usd"), count_if(F.col("is_flagged")).alias("flagged")])
 
 
-@query(f"""WITH {SWIPES} SELECT time_bucket(INTERVAL 6 HOUR, event_ts, TIMESTAMP '2000-01-01') AS window_start, event_type, count(*) AS n, percentile_cont(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM swipes GROUP BY 1, 2""")
+@query(f"""WITH {SWIPES} SELECT time_bucket(INTERVAL 6 HOUR, event_ts, TIMESTAMP '2000-01-01') AS window_start, event_type, count(*) AS n, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 4) AS p95 FROM swipes GROUP BY 1, 2""")
 def tumbling_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = time_windows(swipes(spark, sf_dir), ["event_type"], "event_ts", "6 hours", None, [F.count("*").alias("n"), F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY value)").alias("p95")])
+    t = time_windows(swipes(spark, sf_dir), ["event_type"], "event_ts", "6 hours", None, [F.count("*").alias("n"), F.round(F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY value)"), 4).alias("p95")])
     return t.drop("window_end")
 
 

@@ -115,13 +115,13 @@ def threshold_tuning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY event_ts, transaction_id ROWS UNBOUNDED PRECEDING) AS no FROM m),
 f AS (SELECT *, min(CASE WHEN is_flagged THEN event_ts END) OVER (PARTITION BY user_id, no) AS alert FROM i),
 p AS (SELECT user_id, no, count(*) AS n, sum(amount_usd) AS usd, min(alert) AS alert, (epoch_us(min(alert)) - epoch_us(min(event_ts))) / 1e6 AS secs, sum(amount_usd) FILTER (WHERE alert IS NULL OR event_ts < alert) AS lost FROM f GROUP BY 1, 2)
-SELECT count(*) AS incidents, count(alert) AS detected, round(100.0::DOUBLE * (count(alert) / nullif(count(*), 0)), 1) AS detection_rate_pct, round(avg(n), 2) AS avg_txns, percentile_cont(0.5) WITHIN GROUP (ORDER BY secs) AS p50_seconds, percentile_cont(0.9) WITHIN GROUP (ORDER BY secs) AS p90_seconds, CAST(sum(coalesce(lost, 0)) AS DOUBLE) AS usd_lost, CAST(sum(usd) AS DOUBLE) AS usd_total FROM p""")
+SELECT count(*) AS incidents, count(alert) AS detected, round(100.0::DOUBLE * (count(alert) / nullif(count(*), 0)), 1) AS detection_rate_pct, round(avg(n), 2) AS avg_txns, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY secs), 4) AS p50_seconds, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY secs), 4) AS p90_seconds, CAST(sum(coalesce(lost, 0)) AS DOUBLE) AS usd_lost, CAST(sum(usd) AS DOUBLE) AS usd_total FROM p""")
 def incidents_time_to_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of fraud with gaps of at most a day: how many are detected, how fast, and what is lost before. The loss before the alert is a conditional sum over a window, not a correlated subquery."""
     runs = islands(swipes(spark, sf_dir).where("is_fraud"), ["user_id"], "event_ts", 86_400, "no", [F.col("transaction_id")])
     alert = F.min(F.when(F.col("is_flagged"), F.col("event_ts"))).over(Window.partitionBy("user_id", "no"))
     per = runs.withColumn("alert", alert).groupBy("user_id", "no").agg(F.count("*").alias("n"), F.sum("amount_usd").alias("usd"), F.min("alert").alias("alert"), seconds_between(F.min("alert"), F.min("event_ts")).alias("secs"), F.sum(F.when(F.col("alert").isNull() | (F.col("event_ts") < F.col("alert")), F.col("amount_usd"))).alias("lost"))
-    return per.agg(F.count("*").alias("incidents"), F.count("alert").alias("detected"), percent(F.count("alert"), F.count("*"), 1).alias("detection_rate_pct"), F.round(F.avg("n"), 2).alias("avg_txns"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY secs)").alias("p50_seconds"), F.expr("percentile_cont(0.9) WITHIN GROUP (ORDER BY secs)").alias("p90_seconds"), F.sum(F.coalesce("lost", F.lit(0))).cast(_D).alias("usd_lost"), _money("usd").alias("usd_total"))
+    return per.agg(F.count("*").alias("incidents"), F.count("alert").alias("detected"), percent(F.count("alert"), F.count("*"), 1).alias("detection_rate_pct"), F.round(F.avg("n"), 2).alias("avg_txns"), F.round(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY secs)"), 4).alias("p50_seconds"), F.round(F.expr("percentile_cont(0.9) WITHIN GROUP (ORDER BY secs)"), 4).alias("p90_seconds"), F.sum(F.coalesce("lost", F.lit(0))).cast(_D).alias("usd_lost"), _money("usd").alias("usd_total"))
 
 
 @query(f"""WITH {FACT}, h AS (SELECT merchant_key, date_trunc('month', event_ts) AS month, count(*) AS txns, count(*) FILTER (WHERE is_flagged) AS flagged FROM fact GROUP BY 1, 2),
@@ -249,10 +249,10 @@ def scd2_tier_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.where("versions > 1").drop("versions").orderBy("user_id", "valid_from").limit(100)
 
 
-@query(f"""WITH {TELEMETRY} SELECT query_name, time_bucket(INTERVAL 5 MINUTE, progress_ts, TIMESTAMP '2000-01-01') AS bucket, count(*) AS batches, CAST(sum(num_input_rows) AS BIGINT) AS rows_processed, round(sum(num_input_rows) / 300.0::DOUBLE, 1) AS avg_rows_per_second, percentile_cont(0.5) WITHIN GROUP (ORDER BY batch_duration_ms) AS p50_ms, percentile_cont(0.95) WITHIN GROUP (ORDER BY batch_duration_ms) AS p95_ms, percentile_cont(0.99) WITHIN GROUP (ORDER BY batch_duration_ms) AS p99_ms, round(100.0::DOUBLE * (count(*) FILTER (WHERE batch_duration_ms < 2000) / count(*)), 2) AS slo_pct FROM progress, now WHERE progress_ts >= t0 - INTERVAL 24 HOUR AND num_input_rows > 0 GROUP BY 1, 2""")
+@query(f"""WITH {TELEMETRY} SELECT query_name, time_bucket(INTERVAL 5 MINUTE, progress_ts, TIMESTAMP '2000-01-01') AS bucket, count(*) AS batches, CAST(sum(num_input_rows) AS BIGINT) AS rows_processed, round(sum(num_input_rows) / 300.0::DOUBLE, 1) AS avg_rows_per_second, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY batch_duration_ms), 4) AS p50_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY batch_duration_ms), 4) AS p95_ms, round(percentile_cont(0.99) WITHIN GROUP (ORDER BY batch_duration_ms), 4) AS p99_ms, round(100.0::DOUBLE * (count(*) FILTER (WHERE batch_duration_ms < 2000) / count(*)), 2) AS slo_pct FROM progress, now WHERE progress_ts >= t0 - INTERVAL 24 HOUR AND num_input_rows > 0 GROUP BY 1, 2""")
 def pipeline_slo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latency percentiles and the share of batches under two seconds, by query and five minutes."""
     at = newest(spark, sf_dir, "events", "ts")
     p = telemetry(spark, sf_dir).where((F.col("progress_ts") >= back(at, hours=24)) & (F.col("num_input_rows") > 0))
-    cont = lambda q: F.expr(f"percentile_cont({q}) WITHIN GROUP (ORDER BY batch_duration_ms)")
+    cont = lambda q: F.round(F.expr(f"percentile_cont({q}) WITHIN GROUP (ORDER BY batch_duration_ms)"), 4)
     return p.groupBy("query_name", time_bucket(F.col("progress_ts"), "5 minutes").cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("batches"), F.sum("num_input_rows").alias("rows_processed"), F.round(F.sum("num_input_rows") / F.lit(300.0), 1).alias("avg_rows_per_second"), cont(0.5).alias("p50_ms"), cont(0.95).alias("p95_ms"), cont(0.99).alias("p99_ms"), percent(count_if(F.col("batch_duration_ms") < 2000), F.count("*")).alias("slo_pct"))
