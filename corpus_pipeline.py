@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import decontaminate, mixing, quality_rules, simhash_dedup, suffix_dedup
+from ledgerlark.llm import decontaminate, mixing, near_copies, quality_rules, suffix_dedup
 from ledgerlark.llm.shared import only, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least id."""
-    return simhash_dedup.keep_one(docs)
+    """One document of each group of near copies: that with the least id. Fingerprint links and passages propose, shingle sets decide."""
+    return near_copies.keep_one(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,13 +38,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: 1 for all bytes but ASCII white space.
+INK = np.ones(256, bool)
+INK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte spans of all words, and the index of each text's first word, the number of words last.
 
-    A word is a run of 0-9, a-z, A-Z and bytes from 0x80; texts end words.
+    A word is a run of bytes marked in ``word`` (0-9, a-z, A-Z and bytes from 0x80); texts end words.
     """
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = _WORD[data]
+    inside[1:-1] = word[data]
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     cuts = offsets[1:-1]
