@@ -145,7 +145,7 @@ def probabilities(top: DataFrame) -> list[DataFrame]:
 
     p is the interpolated probability of a string's last character after the others;
     weight is what the string, as a context, leaves to the next lower order (null if
-    it is no context).
+    it is no context; n and p are null if it is only that).
     """
     tables = {ORDER: stored(top, "grams")}
     for k in range(ORDER - 1, 0, -1):
@@ -160,7 +160,8 @@ def probabilities(top: DataFrame) -> list[DataFrame]:
         head, tail = F.substring("gram", 1, k - 1), F.substring("gram", 2, k - 1)
         context = stored(t.groupBy("lang", head.alias("head")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).join(discount, "lang").select("lang", "head", "all", "d", (F.col("d") * F.col("kinds") / F.col("all")).alias("weight")), "contexts")
         if out:
-            out[-1] = out[-1].join(context.select("lang", F.col("head").alias("gram"), "weight"), ["lang", "gram"], "left")
+            # A text's beginning is a context without being any string's end, and so has no p.
+            out[-1] = out[-1].join(context.select("lang", F.col("head").alias("gram"), "weight"), ["lang", "gram"], "full")
         named = t.withColumns({"head": head, "tail": tail}).join(context, ["lang", "head"])
         low = below.withColumnsRenamed({"gram": "tail", "p": "lower"})
         p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("all") + F.col("weight") * F.col("lower")
@@ -188,7 +189,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = M
     langs: tuple[str, ...] = ()
     for k, t in enumerate(tables, 1):
         # The least count whose strings and all more counted ones are few enough, from a histogram of counts.
-        classes = t.groupBy("lang", F.least(F.col("n"), F.lit(100_000)).alias("n")).count().collect()
+        classes = t.where("n IS NOT NULL").groupBy("lang", F.least(F.col("n"), F.lit(100_000)).alias("n")).count().collect()
         if k == 1:
             langs = tuple(sorted({r["lang"] for r in classes}))
             sizes = {x: sum(r["count"] for r in classes if r["lang"] == x) for x in langs}
@@ -200,7 +201,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = M
                     least[name] = n + 1
                     break
         pick = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("lang")] if least else F.lit(1)
-        held = _hashed(t.where(F.col("n") >= pick), k, langs).toArrow()
+        held = _hashed(t.where(F.col("n").isNull() | (F.col("n") >= pick)), k, langs).toArrow()
         which, hashes, p, w = (held[c].to_numpy() for c in ("lang", "hash", "p", "weight"))
         logs.append([])
         weights.append([])
@@ -208,7 +209,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = M
             mine = np.flatnonzero(which == j)
             mine = mine[np.argsort(hashes[mine].view(np.uint64))]
             context = mine[~np.isnan(w[mine])]
-            logs[-1].append((hashes[mine].view(np.uint64), p[mine]))
+            known = mine[~np.isnan(p[mine])]
+            logs[-1].append((hashes[known].view(np.uint64), p[known]))
             weights[-1].append((hashes[context].view(np.uint64), w[context]))
     return Model(uuid.uuid4().hex, langs, logs, weights, -np.log(np.array([sizes[x] + 1.0 for x in langs])))
 
