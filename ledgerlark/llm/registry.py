@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 
-from . import decontaminate, language_id, license_scan, mixing, quality_rules, simhash_dedup, suffix_dedup, token_count, url_filter, warc
+from . import decontaminate, language_id, license_scan, mixing, quality_rules, simhash_dedup, suffix_dedup, token_count, twins, url_filter, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins; the other queries are held against brute force in tests."""
-    return {"op8_url_filter": url_filter.OP8_SQL}
+    return dict(twins.SQL)
