@@ -7,6 +7,17 @@ import numpy as np
 from .textblocks import ranges
 
 
+def _ordered(key: np.ndarray, place: np.ndarray, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys below ``most`` in order, with their places (below n; in order where keys are equal): sorted as one number if that fits."""
+    room = n.bit_length()
+    if most.bit_length() + room <= 63:
+        both = (key << room) | place
+        both.sort()
+        return both >> room, both & ((1 << room) - 1)
+    turn = np.lexsort((place, key))
+    return key[turn], place[turn]
+
+
 def suffix_order(symbols: np.ndarray, depth: int, bits: int = 9) -> np.ndarray:
     """Positions of the rotations of ``symbols`` (below 2**bits), ordered by their first ``depth`` symbols at least.
 
@@ -35,7 +46,7 @@ def suffix_order(symbols: np.ndarray, depth: int, bits: int = 9) -> np.ndarray:
         single &= new
         moving = np.flatnonzero(~single)
         part = order[moving]
-        order[moving] = part[np.argsort(key[part])]
+        order[moving] = _ordered(key[part], part, n, n * n)[1]
         have *= 2
 
 
@@ -51,30 +62,27 @@ def long_prefix(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarra
     """
     n = len(symbols)
     before = symbols[order - 1].astype(np.int64)  # the transform; order 0 wraps round
-    by_symbol = np.argsort(before, kind="stable")
     step = np.empty(n, np.int64)
-    step[by_symbol] = np.arange(n)
+    step[np.argsort(before.astype(np.int16), kind="stable")] = np.arange(n)
     unset = np.ones(n + 1, bool)
     unset[0] = unset[n] = False
     low, high = np.array([0]), np.array([n])
     for _ in range(least):
         one = high - low == 1
         start = step[low[one]]
-        lows, highs = [start], [start + 1]
         wide_low, wide = low[~one], (high - low)[~one]
+        low, high = start, start + 1
         if len(wide):
+            # An interval's rows by symbol: each symbol's rows are next to each other one step back.
+            key = np.repeat(np.arange(len(wide)) * 512, wide)
             at = ranges(wide_low, wide)
-            key = np.repeat(np.arange(len(wide)), wide) * 512 + before[at]
-            turn = np.argsort(key, kind="stable")
-            key = key[turn]
+            key, at = _ordered(key + before[at], at, n, len(wide) * 512)
             heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            first = step[at[turn[heads]]]
-            lows.append(first)
-            highs.append(first + np.diff(np.concatenate([heads, [len(key)]])))
-        low, high = np.concatenate(lows), np.concatenate(highs)
+            first = step[at[heads]]
+            low = np.concatenate([low, first])
+            high = np.concatenate([high, first + np.diff(np.concatenate([heads, [len(key)]]))])
         fresh = unset[high]
         low, high = low[fresh], high[fresh]
-        # The widest of several intervals with the same end is the one with this prefix length; lengths of prefixes differ, so ends are unique.
         unset[high] = False
         if not len(low):
             break
