@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import columns as C
 from ledgerlark.functions.fixed_values import CATEGORIES, CITIES, DISPUTE_REASONS, USD_PER_UNIT
+from ledgerlark.functions.sql import register
 
 
 def one(spark, column, **values):
@@ -56,3 +57,9 @@ def test_rates(spark):
 def test_fixed_values():
     assert (len(CITIES), len(CATEGORIES), len(USD_PER_UNIT), len(DISPUTE_REASONS)) == (36, 18, 17, 6)
     assert {c[4] for c in CITIES} <= set(USD_PER_UNIT) and abs(sum(c[3] for c in CATEGORIES) - 1) < 0.2
+
+
+def test_sql_functions(spark):
+    register(spark)
+    r = spark.sql("SELECT haversine_km(40.7128, -74.006, 51.5074, -0.1278) AS km, haversine_km(NULL, 1, 1, 1) AS none, to_date_key(TIMESTAMP '2024-02-09 01:00:00') AS k, date_bin_seconds(300, TIMESTAMP '2024-01-31 23:59:59') AS b, implied_speed_kmh(10, 1) AS v").first()
+    assert abs(r.km - 5570) < 10 and r.none is None and r.k == 20240209 and str(r.b) == "2024-01-31 23:55:00" and r.v == pytest.approx(600)
