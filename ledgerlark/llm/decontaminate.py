@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from .bwt import suffix_order
+from .shared import mapped
 from .textblocks import LOWER, SpanHash, blocks, mixed, ranges, word_spans
 
 #: Bytes of test items sent to the executors at once.
@@ -122,7 +123,7 @@ def _searched(docs: DataFrame, text: str, items: Items, prefix: str) -> DataFram
 
     schema = StructType([*docs.schema]).add(prefix + "n_words", LongType())
     schema = schema.add(prefix + "hits", ArrayType(StructType().add("low", IntegerType()).add("n", IntegerType()))).add(prefix + "items", ArrayType(StringType()))
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def _item_blocks(benchmark: DataFrame, item_id: str, text: str, window: int, limit: int) -> Iterator[Items]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructType
 
-from .shared import stored
+from .shared import mapped, stored
 from .textblocks import blocks, mixed, ranges
 
 ORDER = 5
@@ -137,7 +137,7 @@ def gram_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
 
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     # numpy drops what looks like padding from a string's end; spaces stay, and no letter is U+0000.
-    return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return mapped(rows, run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def probabilities(top: DataFrame) -> list[DataFrame]:
@@ -229,7 +229,7 @@ def _hashed(table: DataFrame, k: int, langs: tuple[str, ...]) -> DataFrame:
             logs = [np.log(b.column(c).cast(pa.float64()).fill_null(math.nan).to_numpy()).astype(np.float32) for c in (2, 3)]
             yield pa.RecordBatch.from_arrays([pa.array([place[x] for x in b.column(0).to_pylist()], pa.int32()), pa.array(mixed(hashes).view(np.int64)), *map(pa.array, logs)], ["lang", "hash", "p", "weight"])
 
-    return table.select("lang", "gram", "p", "weight").mapInArrow(run, "lang int, hash long, p float, weight float")
+    return mapped(table.select("lang", "gram", "p", "weight"), run, "lang int, hash long, p float, weight float")
 
 
 def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +324,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", prefix: str = "")
             entropy = pc.if_else(pa.array(letters > 0), entropy, pa.scalar(None, entropy.type))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(letters.astype(np.int64)), entropy], [*rows.schema.names, prefix + "n_letters", prefix + "entropy"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema]).add(prefix + "n_letters", LongType()).add(prefix + "entropy", ArrayType(DoubleType())))
+    return mapped(docs, run, StructType([*docs.schema]).add(prefix + "n_letters", LongType()).add(prefix + "entropy", ArrayType(DoubleType())))
 
 
 def identified(docs: DataFrame, training: str, lang: str = "lang", text: str = "text", most: int = MAX_GRAMS) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
 from .license_rules import BASE_PATTERNS, GATE, Rule, rules
+from .shared import mapped
 from .textblocks import LOWER, blocks, word_spans
 
 
@@ -79,7 +80,7 @@ def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(first)), pa.array(base, arrow[0]), pa.array(found, arrow[1])], [*rows.schema.names, *new])
 
     schema = StructType([*docs.schema]).add(new[0], LongType()).add(new[1], base_type).add(new[2], found_type)
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

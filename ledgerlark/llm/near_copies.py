@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stored
+from .shared import mapped, stored
 from .simhash_dedup import near_links, simhash
 from .textblocks import INK, LOWER, SpanHash, blocks, mixed, word_spans
 
@@ -88,7 +88,7 @@ def text_parts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             keys = pa.array([p[1].view(np.int64) for p in parts], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([p[0] for p in parts], pa.int64()), pa.array(fps.view(np.int64)), pa.array([len(p[1]) for p in parts], pa.int32()), keys, pa.array([p[2].tobytes() for p in parts], pa.binary())], ["doc_id", "th", "fp", "n_keys", "keys", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, th long, fp long, n_keys int, keys array<long>, shingles binary")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, th long, fp long, n_keys int, keys array<long>, shingles binary")
 
 
 def _forest(rows: list[tuple], similarity: float) -> tuple[list[int], list[int]]:
@@ -175,7 +175,7 @@ def alike(parts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BL
         close()
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    return mapped(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:

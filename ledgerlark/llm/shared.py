@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,3 +56,15 @@ def only(df: DataFrame, condition: Column) -> DataFrame:
     each anew for every mention; it leaves a generator where it is.
     """
     return df.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("__only")).drop("__only")
+
+
+#: Rows that go to Python at once; whole texts make them large.
+ARROW_ROWS = 1000
+
+
+def mapped(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches small enough for whole texts, unless the session chooses their size itself."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(conf) == "10000":
+        df.sparkSession.conf.set(conf, str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)

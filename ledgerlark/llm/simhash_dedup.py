@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stored
+from .shared import mapped, stored
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _PLACES = (np.arange(8) * 256).astype(np.int16)
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             fps = np.fromiter((simhash(t.as_py() or b"", width) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, fp long")
 
 
 def _keyed(rows: DataFrame, halves: list, bits: int, *carried: str) -> tuple[DataFrame, DataFrame]:

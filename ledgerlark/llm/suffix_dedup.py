@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
 from .bwt import repeated_starts
-from .shared import stored
+from .shared import mapped, stored
 from .textblocks import BLOCK_BYTES, SpanHash, blocks, mixed, ranges
 
 #: Bytes of an anchor.
@@ -97,7 +97,7 @@ def _anchors(docs: DataFrame, least: int) -> DataFrame:
                 ids = rows.column(0).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (keys[doc], (start + at - offsets[doc]).astype(np.int32), n.astype(np.int16), off.astype(np.int16), anchor.view(np.int64), chunk.view(np.int64)))], ["doc_id", "th", "start", "n", "off", "anchor", "chunk"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, th long, start int, n short, off short, anchor long, chunk long")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, th long, start int, n short, off short, anchor long, chunk long")
 
 
 def _packed(docs: DataFrame, text: str) -> DataFrame:
@@ -112,7 +112,7 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(_text_key(data, offsets)), pa.array(z, pa.binary())], [*rows.schema.names[:-1], "__th", "__z"])
 
     schema = StructType([docs.schema[c] for c in rest]).add("__th", LongType()).add("__z", BinaryType())
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return mapped(docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__text")), run, schema)
 
 
 def _unpacked(z: bytes | None) -> bytes:
@@ -135,7 +135,7 @@ def _class_texts(places: DataFrame, docs: DataFrame, least: int) -> DataFrame:
                 cut = [text[a : a + b - 1 + least] for a, b in zip(start, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([items.field("anchor"), items.field("chunk"), items.field("copies"), items.field("off"), pa.array(cut, pa.binary())], ["anchor", "chunk", "copies", "off", "text"])
 
-    return joined.mapInArrow(run, "anchor long, chunk long, copies long, off short, text binary")
+    return mapped(joined, run, "anchor long, chunk long, copies long, off short, text binary")
 
 
 def _covered_runs(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -175,7 +175,7 @@ def _search(classes: DataFrame, least: int) -> DataFrame:
         if block:
             yield found(block)
 
-    return classes.select("anchor", "chunk", "copies", "text").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, chunk long, low int, len int")
+    return mapped(classes.select("anchor", "chunk", "copies", "text").repartition("anchor").sortWithinPartitions("anchor"), run, "anchor long, chunk long, low int, len int")
 
 
 def _cut(start: Column, end: Column) -> Column:
@@ -275,7 +275,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     schema = StructType([packed.schema[c] for c in rest])
     for c in new[:3]:
         schema = schema.add(c, LongType())
-    return joined.mapInArrow(run, schema.add(new[3], BinaryType()))
+    return mapped(joined, run, schema.add(new[3], BinaryType()))
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 200) -> DataFrame:

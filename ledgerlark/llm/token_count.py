@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from .shared import mapped
 from .textblocks import blocks
 
 #: Bytes of a piece, and of the pieces that are encoded together.
@@ -98,7 +99,7 @@ def with_counts(docs: DataFrame, text: str = "text", vocabulary: str = "word_bpe
                 flush()
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(offsets)), pa.array(tokens)], [*rows.schema.names, prefix + "n_bytes", prefix + "n_tokens"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema]).add(prefix + "n_bytes", LongType()).add(prefix + "n_tokens", LongType()))
+    return mapped(docs, run, StructType([*docs.schema]).add(prefix + "n_bytes", LongType()).add(prefix + "n_tokens", LongType()))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, stored
+from .shared import mapped, new_folder, stored
 
 #: Bytes of an archive after which the next record begins another.
 ARCHIVE_BYTES = 64 << 20
@@ -222,7 +222,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         cols = list(zip(*done, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["archive", "records", "bytes"])
 
-    return stored(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive string, records long, bytes long"), "archives")
+    return stored(mapped(rows.select("page_id", "url", "payload", "refers_to"), run, "archive string, records long, bytes long"), "archives")
 
 
 def read_archives(archives: DataFrame, keep_payload: bool = False, page_type: str = "long") -> DataFrame:
@@ -258,7 +258,7 @@ def read_archives(archives: DataFrame, keep_payload: bool = False, page_type: st
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     spread = archives.select("archive").repartition(max(1, min(10_000, archives.count())))
-    return spread.mapInArrow(run, f"page_id {page_type}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {page_type}, payload binary")
+    return mapped(spread, run, f"page_id {page_type}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {page_type}, payload binary")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
