@@ -49,4 +49,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM s LEFT JOIN cuts ON s.lang IS NOT DISTINCT FROM cuts.lang
 """
 
-SQL = {"op2_warc": OP2_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_quality_rules": OP10_SQL}
+# Bytes are pairs of hexadecimal digits; a window is compared by its MD5.
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM d, unnest(range(CAST(strlen(h) // 2 - 199 AS BIGINT))) AS t(i) WHERE strlen(h) >= 400),
+a AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY s) AS n FROM w) WHERE n > 1),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER o + 200 THEN 0 ELSE 1 END AS new FROM a WINDOW o AS (PARTITION BY r ORDER BY i)),
+runs AS (SELECT r, min(i) AS low, max(i) + 200 AS high FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM g) GROUP BY r, k),
+cut AS (SELECT r, count(*) AS n_spans, sum(high - low) AS n_removed, list(low ORDER BY low) AS lows, list(high ORDER BY low) AS highs FROM runs GROUP BY r)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(n_spans + 1), lambda k: substr(h, 2 * CASE WHEN k = 0 THEN 0 ELSE highs[k] END + 1, 2 * (CASE WHEN k = n_spans THEN strlen(h) // 2 ELSE lows[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE highs[k] END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
+SQL = {"op2_warc": OP2_SQL, "op6_decontaminate": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_quality_rules": OP10_SQL}
