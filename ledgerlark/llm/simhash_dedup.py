@@ -76,9 +76,13 @@ def _keyed(rows: DataFrame, halves: list, bits: int, *carried: str) -> tuple[Dat
 
 
 def _forest(batch: pa.Table) -> pa.Table:
-    """Links between a bucket's table entries, and from its questions to them, less those that close a ring."""
-    fp, asks = batch["fp"].to_numpy().view(np.uint64), batch["asks"].to_numpy()
-    entries, out_a, out_b = fp[~asks], [], []
+    """Links of a bucket's entries with each other and with its questions, less those that close a ring.
+
+    ``flipped`` rows stand under a value one bit above theirs; two of them needn't meet,
+    and nor need two questions.
+    """
+    fp, asks, flipped = batch["fp"].to_numpy().view(np.uint64), batch["asks"].to_numpy(), batch["flipped"].to_numpy()
+    out_a, out_b = [], []
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -86,13 +90,14 @@ def _forest(batch: pa.Table) -> pa.Table:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for at in range(0, len(fp), 256):
-        rows, cols = np.nonzero(np.bitwise_count(fp[at : at + 256, None] ^ entries[None, :]) <= 3)
-        for i, j in zip(fp[at + rows].tolist(), entries[cols].tolist(), strict=True):
-            if i != j and (p := find(i)) != (q := find(j)):
-                parent[p] = q
-                out_a.append(i)
-                out_b.append(j)
+    for left, right in ((fp, fp[~asks & ~flipped]), (fp[asks & ~flipped], fp[~asks & flipped])):
+        for at in range(0, len(left), 256):
+            rows, cols = np.nonzero(np.bitwise_count(left[at : at + 256, None] ^ right[None, :]) <= 3)
+            for i, j in zip(left[at + rows].tolist(), right[cols].tolist(), strict=True):
+                if i != j and (p := find(i)) != (q := find(j)):
+                    parent[p] = q
+                    out_a.append(i)
+                    out_b.append(j)
     return pa.table({"a": np.array(out_a, np.uint64).view(np.int64), "b": np.array(out_b, np.uint64).view(np.int64)})
 
 
@@ -117,8 +122,8 @@ def near_links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
     inner = rows.join(big, ["seg", "key"]).withColumns({"k1": F.col("key"), "s1": F.col("seg"), "rest": F.when(F.col("seg") == 0, low).otherwise(high)})
     halves = [F.shiftrightunsigned("rest", 16), F.col("rest").bitwiseAND(0xFFFF)]
     table2, asked2 = _keyed(inner.drop("seg", "key"), halves, 16, "s1", "k1", "fp", "asks")
-    # Who asked at the first level only asks at the second; entries of the first are entries and ask.
-    parts = table2.unionByName(asked2.withColumn("asks", F.lit(True)))
+    # Either of an entry and a question of the first level can have the 0 bit here, so both ask; asks stays the first level's.
+    parts = table2.withColumn("flipped", F.lit(False)).unionByName(asked2.withColumn("flipped", F.lit(True)))
     return links.unionByName(parts.groupBy("s1", "k1", "seg", "key").applyInArrow(_forest, "a long, b long"))
 
 

@@ -51,6 +51,18 @@ def test_links_have_the_components_of_all_near_pairs(spark):
             assert {(min(x), max(x)) for x in links} == set(pairs)
 
 
+def test_a_full_bucket_links_in_whichever_half_the_entry_has_the_0(spark):
+    entry = 0x12345678_0F0E0D0C
+    for high, low in ((1, 1), (1, 0), (0, 1), (0, 0)):
+        a = entry & ~(1 << 16 | 1) | high << 16 | low
+        b = a ^ (1 << 32 | 1 << 16 | 1)
+        # The fillers make the bucket of x full; 0x...78 ends in 0, so b asks for a's bucket.
+        for x, y in ((a, b), (b, a)):
+            prints = [x, y, *(x >> 32 << 32 | f for f in (0xF0F1F2F3, 0xF0F10D0C))]
+            links = near_links(spark.createDataFrame([(p,) for p in prints], "fp long"), 1).collect()
+            assert (min(a, b), max(a, b)) in {(min(r), max(r)) for r in links}, (high, low, x == a)
+
+
 def test_components_of_chains_stars_and_nulls(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 200), (None, 3), (201, None)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
