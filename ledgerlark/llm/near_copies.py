@@ -15,15 +15,23 @@ bits finds few of them. This module completes it, and verifies all it finds:
 4. Classes that keep the same passage are compared by their whole sets. A crowded passage
    is dealt out in blocks, of which each pair is compared once, and what comes out of a
    block is a forest of verified links.
+5. Passages miss some links, so a prefix filter over the shingles themselves completes
+   them: in any one order of all shingles, two sets of a similarity of 0.8 share one of
+   the first n - ceil(0.8 n) + 1 of each. Only classes in different components so far are
+   compared, and first by the parities of how many shingles fall on each of 2,048 bits:
+   sets differ in as many shingles as bits at least. So this costs little, and it is exact.
+   The order puts frequent shingles last as far as a sketch of fixed size knows them; its
+   errors cost time, never a link.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -38,6 +46,10 @@ PASSAGE, SHORT = 12, 40
 SHARE, KEYS = 0.35, 12
 #: Classes and bytes of sets in a block.
 BLOCK_ROWS, BLOCK_SIZE = 1024, 4 << 20
+#: Places of the sketch that orders shingles.
+_SKETCH = 1 << 20
+#: Bits of the parities that stand for a set, and classes in a block of them.
+_PARITY, _PARITY_ROWS = 2048, 1024
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP_BACK = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 
@@ -92,23 +104,26 @@ def text_parts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _forest(rows: list[tuple], similarity: float) -> tuple[list[int], list[int]]:
-    """Verified links (none that closes a ring) between rows (th, side, shingles): all pairs, or if there are two sides those across."""
+    """Verified links (none that closes a ring) between rows (th, side, shingles, root): all pairs, or if there are two sides those across; equal roots are linked already."""
     sets = [np.frombuffer(r[2], np.uint32) for r in rows]
     sizes = np.array([len(s) for s in sets])
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     side = np.array([r[1] for r in rows])
-    parent = list(range(len(rows)))
+    roots, first, known = np.unique(np.array([r[3] for r in rows]), return_index=True, return_inverse=True)
+    parent = first[known].tolist()
 
     def find(x: int) -> int:
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    a, b, parts = [], [], len(rows)
+    a, b, parts = [], [], len(roots)
     mark = np.zeros(len(values), np.int64)
     across = side.min() != side.max()
-    for p in np.flatnonzero(side == side.min()):
+    # All pairs: those of the largest known component meet the rest when the rest are looked at.
+    turn = side == side.min() if across else known != np.bincount(known).argmax() if len(roots) < len(rows) else np.ones(len(rows), bool)
+    for p in np.flatnonzero(turn):
         mine = place[starts[p] : starts[p + 1]]
         mark[mine] = 1
         shared = np.add.reduceat(mark[place], starts[:-1])
@@ -140,6 +155,11 @@ def alike(parts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BL
     need = F.least(F.lit(most), F.size("x") - F.ceil(F.col("n_keys") * SHARE) + 1)
     chosen = stored(per.where(need > 0).select("th", F.explode(F.slice("x", F.lit(1), need.cast("int"))).alias("k")).select("th", F.col("k.key").alias("key")), "chosen")
     chosen = stored(chosen.unionByName(hints), "hinted") if hints else chosen
+    return _compared(chosen.withColumn("root", F.col("th")), parts, similarity, block_rows)
+
+
+def _compared(chosen: DataFrame, parts: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+    """(a, b): verified links between stored ``chosen`` (th, key, root) of a common key and different roots."""
     wanted = chosen.select("th").distinct()
     sets = stored(parts.select("th", "shingles").join(stored(wanted, "wanted"), "th").groupBy("th").agg(F.min("shingles").alias("shingles")), "sets")
     size = stored(chosen.join(sets, "th").groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes")).where("n > 1"), "sizes")
@@ -147,7 +167,7 @@ def alike(parts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BL
     many = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("bytes") / BLOCK_SIZE)).cast("int")
     mine = F.pmod(F.xxhash64("th"), F.col("many")).cast("int")
     spread = dealt.withColumn("many", many).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    rows = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "th", (F.col("mine") > F.col("other")).cast("int").alias("side"), "shingles")
+    rows = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "th", (F.col("mine") > F.col("other")).cast("int").alias("side"), "shingles", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -163,11 +183,11 @@ def alike(parts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BL
             group.clear()
 
         for batch in batches:
-            for key, i, j, th, side, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, i, j, th, side, shingles, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != now:
                     close()
                     now = (key, i, j)
-                group.append((th, side, shingles))
+                group.append((th, side, shingles, root))
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
                 out_a.clear()
@@ -178,6 +198,107 @@ def alike(parts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BL
     return mapped(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long")
 
 
+def _ordering(parts: DataFrame) -> np.ndarray:
+    """For each place of the sketch the power of two of its most frequent shingle's count, as far as batches of rows repeat it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, counts = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32), return_counts=True)
+            often = counts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(values[often].astype(np.int64)), pa.array(counts[often])], ["shingle", "n"])
+
+    sums = mapped(parts.select("shingles"), run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = sums.groupBy((F.col("shingle") % _SKETCH).cast("int").alias("place")).agg(F.max(F.floor(F.log2("n"))).cast("int").alias("power")).toArrow()
+    out = np.zeros(_SKETCH, np.uint8)
+    out[rows["place"].to_numpy()] = rows["power"].to_numpy()
+    return out
+
+
+def prefix_links(parts: DataFrame, linked: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): verified links that, with stored ``linked`` (node, root), make whole the components of classes ``th``."""
+    shared = parts.sparkSession.sparkContext.broadcast(_ordering(parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            prefixes = []
+            for raw in batch.column(1).to_pylist():
+                x = np.frombuffer(raw, np.uint32)
+                # Less a little, so that rounding never makes a prefix too short.
+                size = len(x) - math.ceil(similarity * len(x) - 1e-6) + 1
+                prefixes.append(x[np.argsort(order[x % np.uint32(_SKETCH)], kind="stable")[:size]])
+            sizes = [len(p) for p in prefixes]
+            ths = np.repeat(batch.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(ths), pa.array(np.concatenate(prefixes).view(np.int32)) if prefixes else pa.array([], pa.int32())], ["th", "shingle"])
+
+    rows = mapped(parts.select("th", "shingles"), run, "th long, shingle int")
+    one = Window.partitionBy("shingle")
+    open_ = stored(rows.select("th", "shingle", F.min("th").over(one).alias("x"), F.max("th").over(one).alias("y")).where("x <> y").select("th", "shingle"), "open").distinct()
+    rooted = stored(open_.join(linked.withColumnRenamed("node", "th"), "th", "left").select("th", F.col("shingle").cast("long").alias("key"), F.coalesce("root", "th").alias("root")), "rooted")
+    across = stored(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "across")
+    pairs = stored(_possible(stored(rooted.join(across, "key"), "apart"), parts, similarity).distinct(), "possible")
+    both = F.explode(F.array(*[F.struct(F.col(c).alias("th"), F.col(f"root_{c}").alias("root")) for c in "ab"])).alias("x")
+    chosen = pairs.select(F.xxhash64("a", "b").alias("key"), both).select("x.th", "key", "x.root")
+    return _compared(stored(chosen, "pairs"), parts, similarity, block_rows)
+
+
+def _parities(parts: DataFrame) -> DataFrame:
+    """(th, size, bits) of each row of text_parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]
+            # The prefix's order and this one take different bits of the hash.
+            bits = [np.packbits(np.bincount(x >> np.uint32(21), minlength=_PARITY) & 1).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(bits, pa.binary())], ["th", "size", "bits"])
+
+    return mapped(parts.select("th", "shingles"), run, "th long, size int, bits binary")
+
+
+def _possible(chosen: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, root_a, root_b), a < b: pairs of a key and different roots in ``chosen`` that sizes and parities don't rule out."""
+    wanted = stored(chosen.select("th").distinct(), "wanted")
+    known = stored(_parities(parts).join(wanted, "th").groupBy("th").agg(F.min("size").alias("size"), F.min("bits").alias("bits")), "parities")
+    many = chosen.groupBy("key").agg(F.ceil(F.count("*") / _PARITY_ROWS).cast("int").alias("many"))
+    dealt = chosen.join(stored(many, "many"), "key").join(known, "th").withColumn("mine", F.pmod(F.xxhash64("th"), F.col("many")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    rows = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "th", "root", "size", "bits")
+    apart = (1 - similarity) / (1 + similarity)
+
+    def pairs(group: list[tuple]) -> tuple[np.ndarray, ...]:
+        side, th, root, size = (np.array(x) for x in list(zip(*group, strict=True))[:4])
+        bits = np.frombuffer(b"".join(g[4] for g in group), np.uint64).reshape(len(group), -1)
+        across = side.min() != side.max()
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for p in np.flatnonzero(side == side.min()):
+            q = np.flatnonzero((root != root[p]) & (side != side[p] if across else th > th[p]) & (size >= similarity * size[p] - 1e-6) & (size[p] >= similarity * size - 1e-6))
+            q = q[np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1, dtype=np.int64) <= apart * (size[q] + size[p]) + 1e-6]
+            out[0].append(np.full(len(q), p))
+            out[1].append(q)
+        p, q = (np.concatenate(x) for x in out)
+        a, b = np.where(th[p] < th[q], p, q), np.where(th[p] < th[q], q, p)
+        return th[a], th[b], root[a], root[b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        now: tuple | None = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(group) > 1 and len((found := pairs(group))[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b", "root_a", "root_b"])
+            group.clear()
+
+        for batch in batches:
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != now:
+                    yield from close()
+                    now = (key, i, j)
+                group.append(tuple(row))
+        yield from close()
+
+    return mapped(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long, root_a long, root_b long")
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id): components of texts whose sets are alike; the least id names one.
 
@@ -193,7 +314,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     bits = near_links(prints.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
     one, two = (prints.select(F.col("fp").alias(f"fp_{x}"), F.col("a").alias(f"th_{x}")) for x in "ab")
     near = bits.join(one, "fp_a").join(two, "fp_b").select(F.explode(F.array("th_a", "th_b")).alias("th"), F.xxhash64("th_a", "th_b").alias("key")).distinct()
-    linked = connected_components(stored(alike(parts, similarity, hints=same.unionByName(near)), "links"))
+    links = stored(alike(parts, similarity, hints=same.unionByName(near)), "links")
+    more = stored(prefix_links(parts, stored(connected_components(links), "linked"), similarity), "more")
+    linked = connected_components(stored(links.unionByName(more), "all_links"))
     least = stored(parts.groupBy("th").agg(F.min("doc_id").alias("least")), "least")
     roots = stored(least.join(linked.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th")), "roots")
     names = stored(roots.groupBy("root").agg(F.min("least").alias("component_id")), "names")

@@ -55,6 +55,28 @@ def test_finds_copies_and_only_those(spark):
     assert len(set(want)) < len(texts) - 50
 
 
+def components_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies(docs).collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+def test_a_long_quote_from_elsewhere_hides_no_group(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        base, quote = words(1200), words(200)
+        copies = [list(base) for _ in range(4)]
+        for c in copies:
+            c[rng.randrange(1200)] = "edited"
+        copies[0][600:600] = quote
+        texts += [" ".join(c) for c in copies] + [" ".join(words(300) + quote + words(300))]
+    want = components([(a, b) for a in range(len(texts)) for b in range(a) if similar(texts[a], texts[b])], len(texts))
+    assert want == [k - k % 5 if k % 5 < 4 else k for k in range(len(texts))]
+    assert components_of(spark, texts) == want
+
+
 def test_links_are_verified_and_blocks_change_nothing(spark):
     rng = random.Random(8)
     base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
