@@ -77,6 +77,24 @@ def test_a_long_quote_from_elsewhere_hides_no_group(spark):
     assert components_of(spark, texts) == want
 
 
+def test_short_texts_with_an_edit_are_all_found(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(250):
+        base = [f"w{rng.randrange(10**7)}" for _ in range(rng.randint(50, 60))]
+        edited = list(base)
+        edited[rng.randrange(len(base))] = "edited"
+        texts += [" ".join(base), " ".join(edited)]
+    want = [k - k % 2 if similar(texts[k - k % 2], texts[k - k % 2 + 1]) else k for k in range(len(texts))]
+    assert components_of(spark, texts) == want
+
+
+def test_few_distinct_words_and_random_groups_leave_no_wrong_component(spark):
+    texts = corpus(random.Random(21)) + [" ".join(["one", "two"] * 40 + [f"x{k}"] * (k % 2)) for k in range(4)]
+    want = components([(a, b) for a in range(len(texts)) for b in range(a) if similar(texts[a], texts[b])], len(texts))
+    assert components_of(spark, texts) == want
+
+
 def test_links_are_verified_and_blocks_change_nothing(spark):
     rng = random.Random(8)
     base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
