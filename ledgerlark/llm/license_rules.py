@@ -1,7 +1,7 @@
 """License signatures: hand-written patterns over lower-cased text.
 
-Each family has a label, keywords of which one must be in a text before its patterns
-are tried, and patterns from specific to general. Further rules follow from an SPDX
+Each family has a label, words that mark it, and patterns from specific to general. A
+pattern is tried on texts with a word that every match of it must hold. Further rules follow from an SPDX
 identifier: its tag, its page's address and "licensed under" phrases.
 """
 
@@ -10,8 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-#: Between words of a phrase: at most a few characters that aren't of a word.
-_GAP = r"[^0-9a-z\x80-\xff]{1,4}"
+#: Between words of a phrase: any run of characters that aren't of a word.
+_GAP = r"[^0-9a-z\x80-\xff]+"
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ _FAMILIES: tuple[tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]],
 # Phrases of the contract's base labels: label, words.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 #: Words of which a text with any detection has one: the first gate.
-GATE = (b"licen", b"copyright", b"cc", b"gnu", b"gpl", b"mit", b"apache", b"bsd", b"domain", b"spdx", b"commons", b"reserved", b"proprietary", b"permission", b"redistribution", b"unencumbered", b"confidential", b"provided", b"advertising", b"neither", b"odbl", b"cddl", b"mpl", b"epl", b"wtfpl", b"eupl", b"pddl", b"sspl", b"rail", b"ms-", b"ms ", b"odc", b"fdl", b"asl", b"dedication", b"attribution")
+GATE = (b"licen", b"copyright", b"cc", b"gnu", b"gpl", b"mit", b"apache", b"bsd", b"domain", b"spdx", b"commons", b"reserved", b"proprietary", b"permission", b"redistribution", b"unencumbered", b"confidential", b"provided", b"advertising", b"neither", b"odbl", b"cddl", b"mpl", b"epl", b"wtfpl", b"eupl", b"pddl", b"sspl", b"rail", b"ms", b"odc", b"fdl", b"asl", b"dedication", b"attribution", b"released", b"distributed", b"available", b"published", b"unauthorized", b"public", b"software", b"open")
 
 
 def _compiled(pattern: str) -> re.Pattern[bytes]:
@@ -104,20 +104,32 @@ def _compiled(pattern: str) -> re.Pattern[bytes]:
     return re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + spaced.encode("latin-1") + rb")(?![0-9a-z\x80-\xff])")
 
 
+#: Words that say little of a license: the keyword of a pattern only if it has no other.
+_COMMON = frozenset("licen license licensed public software version general open under this the and free this with for any name all you want copy work use source work what do in to of by is e a".split())
+
+
+def _needed(pattern: str, words: tuple[str, ...]) -> bytes:
+    """A word that every match of a hand-written pattern holds; one that marks the family if there is."""
+    plain = re.sub(r"\\.", "|", pattern)
+    plain = re.sub(r"\(\?:[^)]*\)\??", "|", plain)
+    plain = re.sub(r"\[[^\]]*\](?:\{[^}]*\}|[?+*])?", "|", plain)
+    plain = re.sub(r".\?", "|", plain)
+    return max(re.findall(r"[a-z0-9]+", plain), key=lambda w: (w in words, w not in _COMMON, len(w))).encode()
+
+
 def rules() -> list[Rule]:
     """All rules in order: a family's hand-written patterns, from specific to general, then those of its identifiers."""
     out: list[Rule] = []
     for rank, (label, ids, keywords, patterns) in enumerate(_FAMILIES):
-        keys = tuple(k.encode() for k in keywords)
         base = 1000 - 10 * rank
         for k, p in enumerate(patterns):
-            out.append(Rule(f"{label}/text-{k}", label, 20_000 + base - k, keys, _compiled(p), 0.9 if k == 0 else 0.7))
+            out.append(Rule(f"{label}/text-{k}", label, 20_000 + base - k, (_needed(p, keywords),), _compiled(p), 0.9 if k == 0 else 0.7))
         for i in ids:
             tag = re.escape(i).replace("\\-", "-")
             out.append(Rule(f"{label}/tag-{i}", label, 40_000 + base, (b"spdx",), re.compile(rb"spdx-license-identifier:[ \t]*" + tag.encode() + rb"(?![0-9a-z.+-]*[0-9a-z])"), 1.0))
-            out.append(Rule(f"{label}/page-{i}", label, 30_000 + base, (b"://", b"www."), re.compile(rb"(?:spdx|opensource)\.org/licenses?/" + tag.encode() + rb"(?![0-9a-z-])"), 0.95))
+            out.append(Rule(f"{label}/page-{i}", label, 30_000 + base, (b"spdx.org/", b"opensource.org/"), re.compile(rb"(?:spdx|opensource)\.org/licenses?/" + tag.encode() + rb"(?![0-9a-z-])"), 0.95))
             name = tag.replace("-", "[ -]")
-            out.append(Rule(f"{label}/phrase-{i}", label, 35_000 + base, (b"under",), re.compile(rb"(?:licen[cs]ed|released|distributed|available|published)[ \n]under[ \n](?:the[ \n]|a[ \n])?(?:terms[ \n]of[ \n]the[ \n])?" + name.encode() + rb"(?:[ \n]licen[cs]e)?(?![0-9a-z\x80-\xff])"), 0.95))
+            out.append(Rule(f"{label}/phrase-{i}", label, 35_000 + base, (b"under",), re.compile(rb"(?:licen[cs]ed|released|distributed|available|published)" + _GAP.encode() + rb"under" + _GAP.encode() + rb"(?:the" + _GAP.encode() + rb"|a" + _GAP.encode() + rb")?(?:terms" + _GAP.encode() + rb"of" + _GAP.encode() + rb"the" + _GAP.encode() + rb")?" + name.encode() + rb"(?:" + _GAP.encode() + rb"licen[cs]e)?(?![0-9a-z\x80-\xff])"), 0.95))
     return out
 
 

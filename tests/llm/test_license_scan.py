@@ -1,7 +1,7 @@
 import random
 import re
 
-from ledgerlark.llm.license_rules import BASE, rules
+from ledgerlark.llm.license_rules import BASE, GATE, rules
 from ledgerlark.llm.license_scan import base_places, detections, op1, scan
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -39,6 +39,46 @@ def test_rules_are_many_and_each_needs_its_keywords():
     assert sum("/text-" in r.name for r in found) > 150
 
 
+def made(items, gap):
+    """Strings that a parsed pattern matches, with each branch and optional part present and absent."""
+    outs = [""]
+    for op, arg in items:
+        kind = str(op)
+        if kind == "LITERAL":
+            some = [chr(arg)]
+        elif kind == "IN":
+            some = [gap] if str(arg[0][0]) == "NEGATE" else [chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg][:2]
+        elif kind == "BRANCH":
+            some = [y for b in arg[1] for y in made(b, gap)]
+        elif kind == "SUBPATTERN":
+            some = made(arg[3], gap)
+        elif kind == "MAX_REPEAT":
+            some = [""] * (arg[0] == 0) + [y * max(arg[0], 1) for y in made(arg[2], gap)]
+        else:
+            some = ["x"] if kind == "NOT_LITERAL" else [""]
+        outs = [a + b for a in outs for b in some]
+        outs = outs[:: len(outs) // 200 + 1]
+    return outs
+
+
+def test_keywords_and_gate_keep_every_match():
+    for rule in rules():
+        for gap in (" ", "\n *     "):
+            found = [m for m in (x.encode("latin-1") for x in made(re._parser.parse(rule.pattern.pattern), gap)) if rule.pattern.search(m)]
+            assert found, rule.name
+            for m in found:
+                assert any(k in m for k in rule.keywords) and any(k in m for k in GATE), (rule.name, m)
+
+
+def test_labels_that_keywords_hid():
+    label = lambda t: {r.label for _, _, r in detections(t)}
+    assert label(b"licensed under creative commons attribution non-commercial 4.0") == {"cc-by-nc"}
+    assert label(b"creative commons attribution no derivatives") == {"cc-by-nd"}
+    assert label(b"creative commons zero") == {"cc0"} and label(b"asl 2.0") == {"apache-2"}
+    assert label(b"expat license") == {"mit"} and label(b"ms pl") == {"ms-pl"}
+    assert label(b"# apache license,\n#      version 2.0") == {"apache-2"}
+
+
 def test_priority_and_containment():
     one = lambda t: [(r.label, t[a:b]) for a, b, r in detections(t)]
     assert one(b"gnu general public license, version 3.") == [("gpl-3", b"gnu general public license, version 3")]
