@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import date_key, haversine_km
+from .keyed import first_by
 
 #: Dimensions of up to so many bytes (as Spark estimates them) are sent to every executor.
 SMALL_BYTES = 64 << 20
@@ -52,6 +53,17 @@ def enriched(df: DataFrame, dims: Dimensions) -> DataFrame:
     )
 
 
+def transactions_view(facts: DataFrame, calendar_: DataFrame, users: DataFrame, merchants: DataFrame, categories: DataFrame, places: DataFrame) -> DataFrame:
+    """Facts with what analysts look up: the day, the cardholder, the shop, its category and the place. Facts with unknown members are left out."""
+    joined = facts.join(sized(calendar_.select("date_key", "full_date", "is_weekend")), "date_key")
+    joined = joined.join(sized(users.select("user_key", "user_id", "segment", "card_tier", F.col("city").alias("home_city"))), "user_key")
+    joined = joined.join(sized(merchants.select("merchant_key", "merchant_id", "mcc")), "merchant_key")
+    joined = joined.join(sized(categories.select("mcc", "category_name", "category_risk_tier")), "mcc")
+    joined = joined.join(sized(places.select("location_key", F.col("city").alias("txn_city"), F.col("country_code").alias("txn_country"))), "location_key")
+    names = ["transaction_id", "event_ts", "full_date", "is_weekend", "user_id", "segment", "card_tier", "home_city", "merchant_id", "mcc", "category_name", "category_risk_tier", "txn_city", "txn_country", "amount", "currency_code", "amount_usd", "channel", "entry_mode", "distance_from_home_km", "implied_speed_kmh", "txn_count_5m", "amount_zscore", "fraud_score", "risk_level", "is_flagged", "reason_codes", "loaded_at"]
+    return joined.select(*names)
+
+
 class DimensionCache:
     """Dimensions read by ``load``, kept for ``seconds`` and then read again; safe between threads."""
 
@@ -103,11 +115,12 @@ def merge_versions(current: DataFrame, incoming: DataFrame, key: str, tracked: l
 
     ``current`` has key, tracked columns, row_hash, valid_from, valid_to (null: open)
     and is_current. A key whose hash changed has its open version closed at ``at`` and a
-    new one begun; a new key is begun; others stay. Running it again changes nothing.
+    new one begun; a new key is begun; others stay. Running it again changes nothing. Of
+    incoming rows with one key the one with the least hash counts.
     counts has one row: inserted, expired.
     """
     moment = F.lit(at).cast(current.schema["valid_from"].dataType)
-    fresh = incoming.select(key, *tracked).dropDuplicates([key]).withColumn("row_hash", row_hash(tracked))
+    fresh = first_by(incoming.select(key, *tracked).withColumn("row_hash", row_hash(tracked)), [key], [F.col("row_hash")])
     live = current.where("is_current").select(F.col(key).alias("__key"), F.col("row_hash").alias("__hash"))
     changed = fresh.join(live, fresh[key] == live["__key"], "left").where("__key IS NULL OR row_hash <> __hash")
     begun = changed.select(key, *tracked, "row_hash", moment.alias("valid_from"), F.lit(None).cast(current.schema["valid_to"].dataType).alias("valid_to"), F.lit(True).alias("is_current"))
@@ -120,8 +133,8 @@ def merge_versions(current: DataFrame, incoming: DataFrame, key: str, tracked: l
 
 
 def merge_latest(current: DataFrame, incoming: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(new state, counts): type-1 update; rows equal in all ``columns`` aren't touched. counts: inserted, updated."""
-    new = incoming.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns]).dropDuplicates(["__key"])
+    """(new state, counts): type-1 update; rows equal in all ``columns`` aren't touched. counts: inserted, updated. Of incoming rows with one key the first by ``columns`` counts."""
+    new = first_by(incoming.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns]), ["__key"], [F.col(f"__{c}") for c in columns])
     both = current.join(new, current[key] == new["__key"], "full")
     differs = F.lit(False)
     for c in columns:

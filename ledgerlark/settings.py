@@ -28,6 +28,7 @@ class Settings:
     idle_timeout: str = "1 hour"
     dimension_refresh_s: int = 300
     rules: str = ""
+    ready_file: str = ""
     users: int = 100_000
     merchants: int = 2_500
     seed: int = 42

@@ -8,23 +8,48 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions.fixed_values import FRAUD_REASONS
-from ..operators.dimensions import Dimensions, enriched
+from ..operators.dimensions import Dimensions, enriched, sized
 from ..operators.intake import parse_chargebacks, parse_transactions, quarantined, to_bronze, valid_chargebacks, valid_transactions
 from ..operators.keyed import deduplicated, merchant_risk_windows
 from ..operators.rules import RuleSet, load_rules, scored
-from ..plans.contracts import BRONZE, CHARGEBACK, GOLD, TRANSACTION
+from ..plans.contracts import BRONZE, CHARGEBACK, GOLD, QUARANTINE, TRANSACTION
 from ..sources.logs import read_table_stream
-from ..sources.tables import FACT_ALERTS, FACT_CHARGEBACKS, FACT_TRANSACTIONS, MERCHANT_WINDOWS, Warehouse, append_batch, query_id
+from ..sources.tables import FACT_ALERTS, FACT_CHARGEBACKS, FACT_TRANSACTIONS, MERCHANT_WINDOWS, Store, Warehouse, append_batch, query_id
 from .card_state import stateful_features
 
 LAYERS = ("bronze", "silver", "gold")
+#: The lake's tables: columns and the one that divides them by day.
+LAKE = {
+    "bronze_transactions": (BRONZE, "ingest_date"),
+    "bronze_chargebacks": (BRONZE, "ingest_date"),
+    "silver_transactions": (TRANSACTION, "event_date"),
+    "silver_chargebacks": (StructType([*CHARGEBACK]).add("reported_date", "date"), "reported_date"),
+    "quarantine_transactions": (QUARANTINE, "quarantine_date"),
+    "quarantine_chargebacks": (QUARANTINE, "quarantine_date"),
+    "gold_transactions": (GOLD, "event_date"),
+}
+
+
+def facts(gold: DataFrame) -> DataFrame:
+    """Gold rows with the columns that the warehouse names otherwise, as new, open alerts have them."""
+    made = {"currency_code": F.col("currency"), "txn_lat": F.col("location_lat"), "txn_lon": F.col("location_lon"), "status": F.lit("OPEN"), "created_at": F.current_timestamp(), "status_updated_at": F.lit(None).cast("timestamp")}
+    return gold.withColumns(made)
+
+
+def confirmed(alerts: DataFrame, chargebacks: DataFrame) -> DataFrame:
+    """Alerts, of which those with a fraud chargeback are confirmed, with the time of the change."""
+    fraud = chargebacks.where(F.col("reason_code").isin(*FRAUD_REASONS)).select("transaction_id").distinct().withColumn("__fraud", F.lit(True))
+    turns = F.coalesce(F.col("__fraud") & (F.col("status") != "CONFIRMED_FRAUD"), F.lit(False))
+    changed = alerts.join(fraud, "transaction_id", "left").withColumns({"status": F.when(turns, "CONFIRMED_FRAUD").otherwise(F.col("status")), "status_updated_at": F.when(turns, F.current_timestamp()).otherwise(F.col("status_updated_at"))})
+    return changed.select(alerts.columns)
 
 
 @dataclass
 class App:
-    """Where the tables are and how the queries run. ``trigger`` are the arguments of ``DataStreamWriter.trigger``."""
+    """Where the tables are and how the queries run. ``trigger`` are the arguments of ``DataStreamWriter.trigger``; ``slow_trigger``, if given, those of the gold layer."""
 
     spark: SparkSession
     lake: str
@@ -32,6 +57,7 @@ class App:
     dims: Callable[[], Dimensions]
     rules: RuleSet = field(default_factory=load_rules)
     trigger: dict = field(default_factory=lambda: {"availableNow": True})
+    slow_trigger: dict | None = None
     watermark: str = "10 minutes"
     window: tuple[str, str] = ("5 minutes", "1 minute")
     idle_ms: int = 3_600_000
@@ -43,9 +69,22 @@ class App:
     def checkpoint(self, name: str) -> str:
         return f"{self.lake}/_checkpoints/{name}"
 
+    def ensure(self) -> None:
+        """Folders and tables that queries read before anything has been written to them."""
+        store = Store(self.spark, self.lake)
+        for name in LAKE:
+            store.fs.mkdirs(store.path(self.table(name)))
+        empty = facts(self.spark.createDataFrame([], GOLD))
+        for spec in (FACT_TRANSACTIONS, FACT_ALERTS):
+            self.warehouse.ensure(spec.table, empty.select(*spec.columns).schema, spec.day)
+        disputes = self.spark.createDataFrame([], CHARGEBACK).withColumns({"user_key": F.lit(-1).cast("long"), "currency_code": F.col("currency")})
+        self.warehouse.ensure(FACT_CHARGEBACKS.table, disputes.select(*FACT_CHARGEBACKS.columns).schema, FACT_CHARGEBACKS.day)
+
     def _writer(self, df: DataFrame, name: str, mode: str = "append") -> DataStreamWriter:
-        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", name.split("_")[0])
-        return df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", self.checkpoint(name)).trigger(**self.trigger)
+        layer = name.split("_")[0]
+        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", layer)
+        trigger = self.slow_trigger if layer == "gold" and self.slow_trigger else self.trigger
+        return df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", self.checkpoint(name)).trigger(**trigger)
 
     def _to_table(self, df: DataFrame, name: str, by: str) -> StreamingQuery:
         return self._writer(df, name).format("parquet").partitionBy(by).option("path", self.table(name)).start()
@@ -79,22 +118,26 @@ class App:
             if rows.isEmpty():
                 return
             append_batch(rows, self.table("gold_transactions"), query_id(self.spark, self.checkpoint("gold_transactions")), batch_id, ("event_date",))
-            facts = rows.withColumns({"currency_code": F.col("currency"), "txn_lat": F.col("location_lat"), "txn_lon": F.col("location_lon"), "status": F.lit("OPEN"), "created_at": F.current_timestamp()})
-            self.warehouse.upsert(facts, FACT_TRANSACTIONS)
-            self.warehouse.upsert(facts.where("is_flagged"), FACT_ALERTS)
+            new = facts(rows)
+            self.warehouse.upsert(new, FACT_TRANSACTIONS)
+            self.warehouse.upsert(new.where("is_flagged"), FACT_ALERTS)
         finally:
             rows.unpersist()
 
-    def chargeback_batch(self, df: DataFrame, batch_id: int) -> None:
-        """Chargebacks with their user's key; a fraud chargeback confirms the alert on its transaction."""
+    def _disputes(self, df: DataFrame) -> DataFrame:
         users = self.dims().users.select("user_id", "user_key")
-        rows = df.join(users, "user_id", "left").withColumns({"user_key": F.coalesce("user_key", F.lit(-1)).cast("long"), "currency_code": F.col("currency")})
-        self.warehouse.upsert(rows, FACT_CHARGEBACKS)
-        if self.warehouse.exists(FACT_ALERTS.table):
-            alerts = self.warehouse.read(FACT_ALERTS.table)
-            fraud = rows.where(F.col("reason_code").isin(*FRAUD_REASONS)).select("transaction_id").distinct().withColumn("__fraud", F.lit(True))
-            status = F.when(F.col("__fraud"), "CONFIRMED_FRAUD").otherwise(F.col("status"))
-            self.warehouse.replace(FACT_ALERTS.table, alerts.join(fraud, "transaction_id", "left").withColumn("status", status).select(alerts.columns))
+        return df.join(sized(users), "user_id", "left").withColumns({"user_key": F.coalesce("user_key", F.lit(-1)).cast("long"), "currency_code": F.col("currency")})
+
+    def chargeback_batch(self, df: DataFrame, batch_id: int) -> None:
+        """Chargebacks with their user's key; a fraud chargeback confirms the alert on its transaction, in the days that have such alerts."""
+        rows = self._disputes(df).persist()
+        try:
+            self.warehouse.upsert(rows, FACT_CHARGEBACKS)
+            fraud = rows.where(F.col("reason_code").isin(*FRAUD_REASONS)).select("transaction_id")
+            open_ = lambda alerts: alerts.where("status <> 'CONFIRMED_FRAUD'").join(fraud, "transaction_id", "left_semi")
+            self.warehouse.update(FACT_ALERTS.table, lambda alerts: confirmed(alerts, rows), open_)
+        finally:
+            rows.unpersist()
 
     def gold(self) -> list[StreamingQuery]:
         features = stateful_features(self._from_table("silver_transactions", TRANSACTION), self.idle_ms, self.watermark)
@@ -114,6 +157,7 @@ class App:
         chosen = list(layers)
         if unknown := set(chosen) - set(LAYERS):
             raise ValueError(f"unknown layers: {sorted(unknown)}")
+        self.ensure()
         steps: list[Callable[[], list[StreamingQuery]]] = []
         if "bronze" in chosen:
             steps.append(lambda: self.bronze(logs))
