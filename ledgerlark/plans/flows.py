@@ -9,7 +9,7 @@ from ..functions.columns import count_if, haversine_km
 from ..functions.fixed_values import EARTH_RADIUS_KM
 from ..operators.card_features import card_features, ewma
 from ..operators.dimensions import Dimensions, calendar, enriched, merge_latest, merge_versions, row_hash
-from ..operators.intake import parse_transactions, quarantined, reason_counts, valid_transactions
+from ..operators.intake import parse_chargebacks, parse_transactions, quarantined, reason_counts, valid_chargebacks, valid_transactions
 from ..operators.keyed import deduplicated, islands, merchant_risk_windows, time_windows, valid_at
 from ..operators.reconcile import hourly_merchant_risk, missing, orphans, resolved_alerts
 from ..operators.rules import combined, load_rules, scored
@@ -135,6 +135,39 @@ def rules_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("transaction_id", "fraud_score", F.array_join("reason_codes", ",").alias("reasons"), "risk_level", "is_flagged")
 
 
+_INPUTS = {
+    "txn_count_1m": "event_id % 9",
+    "txn_count_5m": "event_id % 13",
+    "baseline_txn_per_min": "CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 11 AS DOUBLE) / 4 END",
+    "small_txn_count_5m": "event_id % 6",
+    "distinct_merchants_5m": "event_id % 5",
+    "amount_zscore": "CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 70 AS DOUBLE) / 10 END",
+    "implied_speed_kmh": "CASE WHEN event_id % 8 <> 0 THEN CAST(event_id % 23 AS DOUBLE) * 100 END",
+    "km_from_prev": "CAST(event_id % 17 AS DOUBLE) * 50",
+    "category_risk_tier": "CASE event_id % 7 WHEN 0 THEN 'HIGH' ELSE 'LOW' END",
+    "amount_usd": "(event_id * 37) % 1000",
+    "channel": "CASE WHEN event_id % 10 < 4 THEN 'ECOM' ELSE 'POS' END",
+    "distance_from_home_km": "CASE WHEN event_id % 9 <> 1 THEN CAST(event_id % 19 AS DOUBLE) * 150 END",
+    "entry_mode": "CASE event_id % 4 WHEN 1 THEN 'SWIPE' ELSE 'CHIP' END",
+    "has_chip_card": "event_id % 3 <> 1",
+    "account_age_days": "CASE WHEN event_id % 6 <> 5 THEN event_id % 100 END",
+}
+_FIRED = """CASE WHEN baseline_txn_per_min IS NULL THEN txn_count_1m >= 6 OR txn_count_5m >= 10 ELSE txn_count_1m >= greatest(5, 4 * baseline_txn_per_min) OR txn_count_5m >= greatest(8, 20 * baseline_txn_per_min) END AS r1,
+small_txn_count_5m >= 4 AND distinct_merchants_5m >= 3 AS r2, coalesce(amount_zscore, 0) >= 3 AS r3, coalesce(implied_speed_kmh, 0) > 900 AND km_from_prev >= 300 AS r4, category_risk_tier = 'HIGH' AND amount_usd >= 750 AS r5, channel = 'POS' AND coalesce(distance_from_home_km, 0) >= 1500 AS r6, entry_mode = 'SWIPE' AND has_chip_card AS r7, coalesce(account_age_days, 99) <= 30 AND amount_usd >= 500 AS r8"""
+_WEIGHTS = {"VELOCITY_BURST": 0.6, "CARD_TESTING": 0.7, "AMOUNT_SPIKE": 0.45, "IMPOSSIBLE_TRAVEL": 0.75, "HIGH_RISK_MCC_LARGE_TICKET": 0.3, "FAR_FROM_HOME_CARD_PRESENT": 0.2, "MAGSTRIPE_ON_CHIP_CARD": 0.25, "NEW_ACCOUNT_HIGH_VALUE": 0.25}
+_LEFT = " * ".join(f"CASE WHEN r{k} THEN {1 - w!r}::DOUBLE ELSE 1 END" for k, w in enumerate(_WEIGHTS.values(), 1))
+_NAMED = ", ".join(f"CASE WHEN r{k} THEN '{n}' END" for k, n in enumerate(_WEIGHTS, 1))
+
+
+@query(f"""WITH f AS (SELECT event_id, {", ".join(f"{x} AS {n}" for n, x in _INPUTS.items())} FROM events), r AS (SELECT event_id, {_FIRED} FROM f),
+s AS (SELECT event_id, round(1 - {_LEFT}, 4) AS fraud_score, array_to_string(list_filter([{_NAMED}], lambda x: x IS NOT NULL), ',') AS reasons FROM r)
+SELECT *, CASE WHEN fraud_score >= 0.85 THEN 'CRITICAL' WHEN fraud_score >= 0.6 THEN 'HIGH' WHEN fraud_score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, fraud_score >= 0.6 AS is_flagged FROM s""")
+def rules_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rule file over inputs that make each of its rules fire on some events and not on others."""
+    e = table(spark, sf_dir, "events").select("event_id", *[F.expr(x).alias(n) for n, x in _INPUTS.items()])
+    return scored(e, load_rules()).select("event_id", "fraud_score", F.array_join("reason_codes", ",").alias("reasons"), "risk_level", "is_flagged")
+
+
 @query(f"""WITH {SWIPES}, w AS (SELECT merchant_key, unnest(generate_series(date_trunc('hour', event_ts) - INTERVAL 4 HOUR, date_trunc('hour', event_ts), INTERVAL 1 HOUR)) AS window_start, amount_usd, is_flagged FROM swipes)
 SELECT window_start, window_start + INTERVAL 5 HOUR AS window_end, merchant_key, count(*) AS n, CAST(sum(amount_usd) AS DOUBLE) AS usd, count(*) FILTER (WHERE is_flagged) AS flagged FROM w GROUP BY ALL""")
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,9 +217,31 @@ def dq_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("transaction_id", F.col("amount").cast(_D).alias("amount"), F.col("amount_usd").cast(_D).alias("amount_usd"))
 
 
+def _disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze rows of chargebacks whose payloads carry a defect by event id."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id") % 19
+    text = F.to_json(F.struct(F.lit(7).alias("schema_version"), F.col("event_id").cast("string").alias("chargeback_id"), F.when(k != 1, F.col("event_id").cast("string")).alias("transaction_id"), F.concat(F.lit("u"), "user_id").alias("user_id"), F.when(k == 2, "99.9").when(k == 3, F.lit(None)).otherwise("10.4").alias("reason_code"), F.when(k == 4, 0.0).when(k == 5, -3.0).when(k == 6, 2e6).otherwise(F.round(F.col("value") + 1, 2)).alias("amount"), F.when(k == 7, "XXX").when(k == 8, F.lit(None)).otherwise("USD").alias("currency"), F.when(k == 9, "soon").when(k == 10, F.lit(None)).otherwise("2024-01-15T00:00:00Z").alias("reported_ts")))
+    payload = F.when(k == 11, F.substring(text, 1, 30)).when(k == 12, "").otherwise(text)
+    at = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return e.select(F.lit("k").alias("message_key"), payload.alias("raw_payload"), F.lit("t").alias("topic"), F.lit(0).alias("kafka_partition"), F.col("event_id").alias("kafka_offset"), at.alias("kafka_ts"), at.alias("ingest_ts"), F.to_date(at).alias("ingest_date"), F.lit(0).alias("ingest_hour"))
+
+
+@query("""SELECT event_id, CASE event_id % 19 WHEN 1 THEN 'MISSING_REQUIRED_FIELD' WHEN 2 THEN 'UNKNOWN_REASON_CODE' WHEN 3 THEN 'MISSING_REQUIRED_FIELD' WHEN 4 THEN 'INVALID_AMOUNT' WHEN 5 THEN 'INVALID_AMOUNT' WHEN 7 THEN 'UNKNOWN_CURRENCY' WHEN 8 THEN 'MISSING_REQUIRED_FIELD,UNKNOWN_CURRENCY' WHEN 9 THEN 'INVALID_TIMESTAMP' WHEN 10 THEN 'INVALID_TIMESTAMP' WHEN 11 THEN 'MALFORMED_JSON,MISSING_REQUIRED_FIELD,INVALID_TIMESTAMP,UNKNOWN_CURRENCY' WHEN 12 THEN 'MISSING_REQUIRED_FIELD,INVALID_TIMESTAMP,UNKNOWN_CURRENCY' ELSE '' END AS reasons FROM events""")
+def dq_chargeback_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chargeback with the checks that it fails, in order; versions and large amounts aren't checked."""
+    return parse_chargebacks(_disputes(spark, sf_dir)).select(F.col("kafka_offset").alias("event_id"), F.array_join("dq_errors", ",").alias("reasons"))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS chargeback_id, CASE WHEN event_id % 19 = 6 THEN 2e6::DOUBLE ELSE CAST(CAST(round(value + 1, 2) AS DECIMAL(14,2)) AS DOUBLE) END AS amount_usd FROM events WHERE event_id % 19 IN (0, 6) OR event_id % 19 > 12""")
+def dq_chargebacks_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid chargebacks in dollars."""
+    return valid_chargebacks(parse_chargebacks(_disputes(spark, sf_dir))).select("chargeback_id", F.col("amount_usd").cast(_D).alias("amount_usd"))
+
+
 @query("SELECT event_id, user_id, value FROM events WHERE event_id % 17 = 0")
 def reconcile_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lake rows that the warehouse lacks (a hundredth, by id)."""
+    """Lake rows that the warehouse lacks: those whose id 17 divides."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     return missing(e, e.where("event_id % 17 <> 0"), "event_id")
 
@@ -199,13 +254,13 @@ def reconcile_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans(e, e.unionByName(extra), "event_id")
 
 
-@query(f"""WITH {FACT}, {DISPUTES}, one AS (SELECT transaction_id, arg_min(reason_code, chargeback_id) AS code FROM cb GROUP BY 1)
-SELECT date_trunc('hour', event_ts) AS hour_ts, merchant_key, CAST(part_key % 18 AS VARCHAR) AS mcc, count(*) AS txn_count, CAST(sum(amount_usd) AS DOUBLE) AS total_amount_usd, count(*) FILTER (WHERE is_flagged) AS flagged_count, count(*) FILTER (WHERE code IN ('10.1', '10.3', '10.4')) AS fraud_count, CAST(max(score) AS DOUBLE) AS max_fraud_score FROM fact LEFT JOIN one USING (transaction_id) GROUP BY 1, 2, 3""")
+@query(f"""WITH {FACT}, {DISPUTES}, one AS (SELECT transaction_id, arg_min(reason_code, chargeback_id) AS code, arg_min(amount_usd, chargeback_id) AS lost FROM cb GROUP BY 1)
+SELECT date_trunc('hour', event_ts) AS hour_ts, CAST(strftime(event_ts, '%Y%m%d') AS INTEGER) AS date_key, merchant_key, count(code) AS chargeback_count, CAST(coalesce(sum(lost), 0) AS DOUBLE) AS chargeback_amount_usd, CAST(part_key % 18 AS VARCHAR) AS mcc, count(*) AS txn_count, CAST(sum(amount_usd) AS DOUBLE) AS total_amount_usd, count(*) FILTER (WHERE is_flagged) AS flagged_count, count(*) FILTER (WHERE code IN ('10.1', '10.3', '10.4')) AS fraud_count, CAST(max(score) AS DOUBLE) AS max_fraud_score FROM fact LEFT JOIN one USING (transaction_id) GROUP BY 1, 2, 3, mcc""")
 def hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merchant hours with confirmed fraud, of one chargeback for each transaction."""
-    gold = lines(spark, sf_dir).withColumns({"mcc": (F.col("part_key") % 18).cast("string"), "fraud_score": F.col("score").cast(_D)})
+    """Merchant hours with disputes and confirmed fraud, of one chargeback for each transaction."""
+    gold = lines(spark, sf_dir).withColumns({"date_key": F.date_format("event_ts", "yyyyMMdd").cast("int"), "mcc": (F.col("part_key") % 18).cast("string"), "fraud_score": F.col("score").cast(_D)})
     r = hourly_merchant_risk(gold, chargebacks(spark, sf_dir))
-    return r.select(F.col("hour_ts").cast("timestamp_ntz").alias("hour_ts"), "merchant_key", "mcc", "txn_count", F.col("total_amount_usd").cast(_D).alias("total_amount_usd"), "flagged_count", "fraud_count", F.col("max_fraud_score").cast(_D).alias("max_fraud_score"))
+    return r.select(F.col("hour_ts").cast("timestamp_ntz").alias("hour_ts"), "date_key", "chargeback_count", F.col("chargeback_amount_usd").cast(_D).alias("chargeback_amount_usd"), "merchant_key", "mcc", "txn_count", F.col("total_amount_usd").cast(_D).alias("total_amount_usd"), "flagged_count", "fraud_count", F.col("max_fraud_score").cast(_D).alias("max_fraud_score"))
 
 
 @query(f"""WITH {FACT}, {DISPUTES}, f AS (SELECT transaction_id, bool_or(reason_code LIKE '10.%') AS fraud FROM cb GROUP BY 1) SELECT transaction_id, CASE WHEN fraud THEN 'CONFIRMED_FRAUD' WHEN fraud IS NULL AND event_ts < t0 - INTERVAL 720 HOUR THEN 'FALSE_POSITIVE' ELSE 'OPEN' END AS status FROM fact LEFT JOIN f USING (transaction_id), now WHERE is_flagged""")

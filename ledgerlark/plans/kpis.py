@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import count_if, haversine_km, percent, ratio, seconds_between, shrunk_rate, speed_kmh, time_bucket, wilson_lower
 from ..functions.fixed_values import EARTH_RADIUS_KM, dispute_reasons
 from ..operators.dimensions import calendar
 from ..operators.keyed import islands
+from ..scratch import scratch
 from .star import DISPUTES, FACT, LABELLED, REASONS, SWIPES, TELEMETRY, back, chargebacks, fraud_chargebacks, labelled, lines, newest, query, swipes, table, telemetry
 
 _D = "double"
@@ -177,21 +179,23 @@ def spend_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def globally_ranked(df: DataFrame, by: list[str]) -> DataFrame:
     """``df`` with ``rank`` (from 1, by columns that are unique together) and ``all``, without a single-task sort.
 
-    Coarse positions come from the value's approximate quantiles: rows get the number of
-    the interval they fall into, are ranked in it, and are shifted by the sizes of the
-    intervals before. A hundred bounds and sizes are all that the driver sees.
+    A range partitioning by all of ``by`` deals the rows out evenly, into as many parts as
+    the session's shuffles have, ties of the first column included; each part is ranked
+    by itself and shifted by the sizes of the parts before, which are all the driver sees.
+    The parts are written first: sampled bounds could differ between two evaluations.
     """
-    bounds = df.select(F.percentile_approx(F.col(by[0]).cast("double"), [k / 100 for k in range(1, 100)], 10_000)).first()[0] or []
-    slots = sorted(set(bounds))
-    slot = F.size(F.filter(F.array(*[F.lit(x) for x in slots]).cast("array<double>"), lambda b: b < F.col(by[0]).cast("double")))
-    placed = df.withColumn("slot", slot)
-    sizes = {r["slot"]: r["count"] for r in placed.groupBy("slot").count().collect()}
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, "ranked")
+    df.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id()).write.mode("overwrite").parquet(path)
+    placed = spark.read.schema(StructType([*df.schema]).add("__part", "integer")).parquet(path)
+    sizes = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
     total, shift = 0, []
     for k in sorted(sizes):
-        shift += [F.lit(k), F.lit(total)]
+        shift += [F.lit(k), F.lit(total).cast("long")]
         total += sizes[k]
-    before = F.create_map(*shift)[F.col("slot")] if shift else F.lit(0)
-    inner = F.row_number().over(Window.partitionBy("slot").orderBy(*by))
+    before = F.create_map(*shift)[F.col("__part")] if shift else F.lit(0)
+    inner = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
     return placed.select(*df.columns, (inner + before).cast("long").alias("rank"), F.lit(total).cast("long").alias("all"))
 
 

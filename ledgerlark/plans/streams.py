@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if
 from ..operators.keyed import deduplicated, time_windows
+from ..scratch import scratch
 from ..sources.tables import Upsert, Warehouse
-from ..streaming.scratch import scratch
 from .star import SWIPES, query, swipes, table
 
 
@@ -49,7 +49,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = swipes(spark, sf_dir).select("transaction_id", "merchant_key", "event_ts", "amount_usd", "is_flagged")
     made = time_windows(_replayed(e, "windows-in"), ["merchant_key"], "event_ts", "5 hours", "1 hour", [F.count("*").alias("n"), F.sum("amount_usd").cast("double").alias("usd"), count_if(F.col("is_flagged")).alias("flagged")], "40 days").drop("window_end")
     warehouse = Warehouse(spark, scratch(spark, "windows-out"))
-    spec = Upsert("windows", ("window_start", "merchant_key", "n", "usd", "flagged"), ("window_start", "merchant_key"), ("n", "usd", "flagged"))
+    spec = Upsert("windows", ("window_start", "merchant_key", "n", "usd", "flagged"), ("window_start", "merchant_key"), ("n", "usd", "flagged"), day="window_start")
     q = made.writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "windows-checkpoint")).foreachBatch(lambda df, _: warehouse.upsert(df, spec)).trigger(availableNow=True).start()
     q.awaitTermination()
     return warehouse.read("windows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -9,9 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir`` (set to a temporary folder where it is unset, as in tests), deleted at the end."""
+    """A new path under ``spark.checkpoint.dir``, deleted at the end.
+
+    Where the setting is missing, a session in one process (``local[...]``, as in tests) gets a
+    temporary folder; on a cluster that is an error, as executors wouldn't share it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
