@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import settled, stored
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,6 +20,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     hub costs one row for each task, and the joins carry plain keys that adaptive
     execution can split.
     """
+    spark = links.sparkSession
+    return settled(spark, lambda: _contracted(links, a, b), "components")
+
+
+def _contracted(links: DataFrame, a: str, b: str) -> DataFrame:
     ends = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     roots = stored(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")), "components")
     left = stored(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")

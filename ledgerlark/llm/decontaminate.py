@@ -3,30 +3,36 @@
 A shard is a bounded slice of whole documents (a longer document is a shard of its
 own). Its words (runs of 0-9, a-z and bytes from 0x80, A-Z lower-cased) become one
 sequence with a separator after each document, and its suffixes are sorted. Every
-suffix of every test item is looked up by binary search, word by word, which gives its
-longest verbatim match in the shard and all places of it. A match as long as the
-window (13 words; the whole item if that is shorter) marks its words as hit.
-
-Words are compared by 64-bit hashes. Test items go to the executors in blocks of
-bounded bytes, each of which is searched for in all shards.
+suffix of every test item is looked up by binary search, word by word, up to the window
+(13 words; the whole item if that is shorter), which gives all places of the window. A
+place marks its words as hit. From the last suffix of an item to its first, places that
+go on one word later are joined, which gives the longest verbatim match of each item in
+each document, and where it stands in both.
+
+Words are compared by 64-bit hashes. Test items are files of bounded bytes in the shared
+folder, each of which is searched for in all shards: nothing goes through the driver.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from .bwt import suffix_order
-from .shared import mapped
-from .textblocks import LOWER, SpanHash, blocks, mixed, ranges, word_spans
+from .shared import mapped, new_folder, open_file, stored
+from .textblocks import LOWER, SpanHash, gathered, mixed, ranges, word_spans
 
-#: Bytes of test items sent to the executors at once.
-ITEM_BYTES = 16 << 20
+#: Bytes of a file of test items, of which a worker holds eight; more are read again for each shard.
+ITEM_BYTES = 4 << 20
+#: Bytes of a shard: each test suffix is searched once in it.
+SHARD_BYTES = 4 << 20
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,32 +45,52 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Items:
-    """Test items as one array of word hashes; ``need`` is the window of each suffix, 0 where none starts."""
+    """Test items as one array of word hashes; ``need`` is the window of each suffix, 0 where none starts; ``name`` numbers distinct ids."""
 
     def __init__(self, ids: list[str], texts: list[bytes], window: int):
         offsets = np.cumsum([0, *map(len, texts)])
-        self.words, first = words_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
-        count = np.diff(first)
+        self.words, self.first = words_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        count = np.diff(self.first)
         self.item = np.repeat(np.arange(len(ids)), count)
         size = np.minimum(count, window)[self.item]
-        self.left = (first[1:][self.item] - np.arange(len(self.words))) if len(self.words) else np.zeros(0, np.int64)
+        self.left = (self.first[1:][self.item] - np.arange(len(self.words))) if len(self.words) else np.zeros(0, np.int64)
         self.need = np.where(self.left >= size, size, 0)
-        self.ids, self.window = ids, window
-
-
-def longest_matches(words: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order, length, low, high): for each test suffix, the words of its longest match (up to the window) and its ranks in ``order``.
-
-    ``order`` lists positions of a sequence in which text k's words stand from first[k] + k, a separator after them.
-    """
-    vocabulary, ids = np.unique(words, return_inverse=True)
-    count = np.diff(first)
-    sequence = np.zeros(len(words) + len(count), np.int64)
-    sequence[ranges(first[:-1] + np.arange(len(count)), count)] = ids + 1
-    order = suffix_order(sequence, items.window, max(1, int(len(vocabulary)).bit_length()))
-    place = np.searchsorted(vocabulary, items.words)
-    known = place < len(vocabulary)
-    known[known] = vocabulary[place[known]] == items.words[known]
+        self.names = sorted(set(ids))
+        number = {x: k for k, x in enumerate(self.names)}
+        self.name = np.array([number[x] for x in ids], np.int64)
+        self.window = window
+
+
+@functools.lru_cache(maxsize=8)
+def _loaded(path: str, window: int) -> Items:
+    with open_file(path, "rb") as f, pa.ipc.open_stream(f) as reader:
+        table = reader.read_all()
+    return Items(table["id"].to_pylist(), table["text"].to_pylist(), window)
+
+
+class Shard:
+    """Whole texts as words, with their suffixes in order of their first ``depth`` words."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, depth: int):
+        self.words, self.first = words_of(data, offsets)
+        count = np.diff(self.first)
+        #: Where each text begins in ``sequence``, which has a separator after each.
+        self.begin = self.first[:-1] + np.arange(len(count))
+        self.vocabulary, ids = np.unique(self.words, return_inverse=True)
+        self.sequence = np.zeros(len(self.words) + len(count), np.int64)
+        self.sequence[ranges(self.begin, count)] = ids + 1
+        self.order = suffix_order(self.sequence, depth, max(1, int(len(self.vocabulary)).bit_length()))
+
+    def text_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, places, "right") - 1
+
+
+def longest_matches(shard: Shard, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, low, high): for each test suffix, the words of its longest match (up to the window) and its ranks in the shard's order."""
+    sequence, order = shard.sequence, shard.order
+    place = np.searchsorted(shard.vocabulary, items.words)
+    known = place < len(shard.vocabulary)
+    known[known] = shard.vocabulary[place[known]] == items.words[known]
     wanted = np.where(known, place + 1, -1)
     n = len(items.words)
     length, low, high = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, len(order))
@@ -86,29 +112,62 @@ def longest_matches(words: np.ndarray, first: np.ndarray, items: Items) -> tuple
         some = bounds[1] > bounds[0]
         alive = alive[some]
         low[alive], high[alive], length[alive] = bounds[0][some], bounds[1][some], depth + 1
-    return order, length, low, high
+    return length, low, high
+
 
+def verbatim(shard: Shard, items: Items, hit: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """{(text, name): (words, place in the item, place in the text)}: the longest verbatim match of a window or more, the first of equals.
 
-def _searched(docs: DataFrame, text: str, items: Items, prefix: str) -> DataFrame:
-    """``docs`` with n_words, hit ranges of words, and the ids of items with matched windows."""
+    From the last suffix to the first, a place takes over the length that the next suffix
+    has at the next place; a suffix's places are all that is held.
+    """
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    later, sizes, last = np.zeros(0, np.int64), np.zeros(0, np.int64), -1
+    for s in hit[::-1].tolist():
+        at = np.sort(shard.order[low[s] : high[s]])
+        size = np.full(len(at), items.need[s])
+        if last == s + 1 and items.item[last] == items.item[s]:
+            k = np.minimum(np.searchsorted(later, at + 1), len(later) - 1)
+            goes = later[k] == at + 1
+            size[goes] = sizes[k[goes]] + 1
+        text = shard.text_of(at)
+        heads = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        name, place = int(items.name[items.item[s]]), s - int(items.first[items.item[s]])
+        for t, best, a, b in zip(text[heads].tolist(), np.maximum.reduceat(size, heads).tolist(), heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True):
+            start = int(at[a + int(np.argmax(size[a:b] == best))] - shard.begin[t])
+            if (t, name) not in found or (-best, place, start) < (-found[t, name][0], *found[t, name][1:]):
+                found[t, name] = (best, place, start)
+        later, sizes, last = at, size, s
+    return found
+
+
+def _searched(docs: DataFrame, text: str, paths: list[str], window: int, prefix: str) -> DataFrame:
+    """``docs`` with n_words, hits, items and matches; see ``with_hits``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in blocks(batches, text):
-            words, first = words_of(data, offsets)
-            order, length, low, high = longest_matches(words, first, items)
-            hit = np.flatnonzero((items.need > 0) & (length >= items.need))
-            # A match that is longer than the need is cut to the window, so its ranks are those of the need.
-            times = (high - low)[hit]
-            at = order[ranges(low[hit], times)]
-            doc = np.searchsorted(first[:-1] + np.arange(len(offsets) - 1), at, "right") - 1
-            start, size = at - doc, np.repeat(items.need[hit], times)
-            step = np.zeros(len(words) + 1, np.int64)
-            np.add.at(step, start, 1)
-            np.add.at(step, start + size, -1)
+        for rows, data, offsets in gathered(batches, text, SHARD_BYTES):
+            shard = Shard(data, offsets, window)
+            step = np.zeros(len(shard.words) + 1, np.int64)
+            names: list[dict[str, tuple[int, int, int]]] = [{} for _ in range(rows.num_rows)]
+            for path in paths:
+                items = _loaded(path, window)
+                length, low, high = longest_matches(shard, items)
+                hit = np.flatnonzero((items.need > 0) & (length >= items.need))
+                # Equal windows have equal ranks: their words are marked once.
+                ranks = np.unique(np.stack([low[hit], high[hit], items.need[hit]], axis=1), axis=0)
+                at = shard.order[ranges(ranks[:, 0], ranks[:, 1] - ranks[:, 0])]
+                start = at - shard.text_of(at)
+                np.add.at(step, start, 1)
+                np.add.at(step, start + np.repeat(ranks[:, 2], ranks[:, 1] - ranks[:, 0]), -1)
+                for (t, name), match in verbatim(shard, items, hit, low, high).items():
+                    known = names[t].get(items.names[name])
+                    if known is None or (-match[0], *match[1:]) < (-known[0], *known[1:]):
+                        names[t][items.names[name]] = match
+            first = shard.first
             covered = np.cumsum(step)[:-1] > 0
             # Runs of hit words, ended by a text's end.
             head, tail = covered.copy(), covered.copy()
-            inner = np.zeros(len(words) + 1, bool)
+            inner = np.zeros(len(covered) + 1, bool)
             inner[first] = True
             head[1:] &= ~covered[:-1] | inner[1:-1]
             tail[:-1] &= ~covered[1:] | inner[1:-1]
@@ -116,53 +175,50 @@ def _searched(docs: DataFrame, text: str, items: Items, prefix: str) -> DataFram
             owner = np.searchsorted(first, begin, "right") - 1
             cuts = np.searchsorted(owner, np.arange(len(offsets)))
             runs = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(begin - first[owner], pa.int32()), pa.array(end - begin, pa.int32())], ["low", "n"]))
-            pairs = np.unique(doc * len(items.ids) + np.repeat(items.item[hit], times)) if len(at) else np.zeros(0, np.int64)
-            which = np.searchsorted(pairs, np.arange(len(offsets)) * len(items.ids))
-            names = pa.ListArray.from_arrays(pa.array(which, pa.int32()), pa.array([items.ids[k] for k in pairs % max(1, len(items.ids))], pa.string()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(first)), runs, names], [*rows.schema.names, prefix + "n_words", prefix + "hits", prefix + "items"])
-
-    schema = StructType([*docs.schema]).add(prefix + "n_words", LongType())
-    schema = schema.add(prefix + "hits", ArrayType(StructType().add("low", IntegerType()).add("n", IntegerType()))).add(prefix + "items", ArrayType(StringType()))
-    return mapped(docs, run, schema)
+            sorted_names = [sorted(x) for x in names]
+            ids = pa.array(sorted_names, pa.list_(pa.string()))
+            matches = pa.array([[{"item": i, "at": x[i][1], "low": x[i][2], "n": x[i][0]} for i in order] for x, order in zip(names, sorted_names, strict=True)], pa.list_(pa.struct([("item", pa.string()), ("at", pa.int32()), ("low", pa.int32()), ("n", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(first)), runs, ids, matches], [*rows.schema.names, *[prefix + c for c in ("n_words", "hits", "items", "matches")]])
+
+    place = StructType().add("low", IntegerType()).add("n", IntegerType())
+    match = StructType().add("item", StringType()).add("at", IntegerType()).add("low", IntegerType()).add("n", IntegerType())
+    schema = StructType([*docs.schema]).add(prefix + "n_words", LongType()).add(prefix + "hits", ArrayType(place))
+    return mapped(docs, run, schema.add(prefix + "items", ArrayType(StringType())).add(prefix + "matches", ArrayType(match)))
+
+
+def item_files(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[str]:
+    """Files of (id, text) of about ``limit`` bytes each (a longer item has one to itself) in the shared folder."""
+    spark = benchmark.sparkSession
+    folder = new_folder(spark, "items")
+    named = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
+    size = named.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0)).alias("n")).first()["n"]
+    schema = pa.schema([("id", pa.string()), ("text", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get(), []
+        for rows, _, _ in gathered(batches, "text", limit):
+            # Each attempt of a task has names of its own; only those of the one that counts are told.
+            path = f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(made):04d}.arrow"
+            with open_file(path, "wb") as f, pa.ipc.new_stream(f, schema) as out:
+                out.write_batch(pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(rows.columns, schema.types, strict=True)], schema=schema))
+            made.append(path)
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["path"])
 
-def _item_blocks(benchmark: DataFrame, item_id: str, text: str, window: int, limit: int) -> Iterator[Items]:
-    named = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    size = named.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0)).alias("n")).first()["n"]
-    parts = -(-size // limit) or 1
-    for k in range(parts):
-        rows = (named if parts == 1 else named.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)).collect()
-        yield Items([r["id"] for r in rows], [bytes(r["text"]) for r in rows], window)
+    return sorted(r["path"] for r in stored(mapped(named.repartition(-(-size // limit) or 1), run, "path string"), "item-files").collect())
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, limit: int = ITEM_BYTES, prefix: str = "") -> DataFrame:
-    """``docs`` with n_words, hits (maximal runs of hit words: low, n) and items (distinct ids whose windows occur).
-
-    Null texts have no words; an item without words has no window; an item without id
-    is named "null". Names in ``docs`` must not clash with the new ones, which
-    ``prefix`` precedes. Items of up to ``limit`` bytes need one pass and no shuffle.
-    More need a pass for each block of items, whose findings are joined by all columns.
+    """``docs`` with n_words, hits, items and matches, without a shuffle of ``docs``.
+
+    hits are maximal runs of hit words (low, n); items the distinct ids of items whose
+    windows occur, sorted; matches the longest verbatim match of each of them: its place in
+    the item (at) and in the text (low), and its words (n), the first of equals. Null texts
+    have no words; an item without words has no window; an item without id is named
+    "null"; items with one id count as one. Names in ``docs`` must not clash with the new
+    ones, which ``prefix`` precedes. ``limit`` is the bytes of a file of items and changes
+    no result.
     """
-    found = [_searched(docs, text, items, prefix) for items in _item_blocks(benchmark, item_id, item_text, window, limit)]
-    if len(found) == 1:
-        return found[0]
-    n, hits, items = (prefix + c for c in ("n_words", "hits", "items"))
-    whole = found[0].withColumn("__part", F.lit(0))
-    for k, x in enumerate(found[1:], 1):
-        whole = whole.unionByName(x.withColumn("__part", F.lit(k)))
-    grouped = whole.groupBy(*[F.col(f"`{c}`") for c in [*docs.columns, n]]).agg(F.flatten(F.collect_set(hits)).alias("__h"), F.array_distinct(F.flatten(F.collect_set(items))).alias(items), F.count(F.when(F.col("__part") == 0, 1)).alias("__copies"))
-    # Runs of several blocks can overlap or touch: ordered by their starts, a run that goes on is joined to the last.
-    last = lambda a: F.element_at(a, -1)
-    end = lambda r: r["low"] + r["n"]
-    empty = F.array().cast("array<struct<low:int,n:int>>")
-
-    def join(done, run):
-        longer = F.struct(last(done)["low"].alias("low"), (F.greatest(end(last(done)), end(run)) - last(done)["low"]).alias("n"))
-        rest = F.slice(done, F.lit(1), F.size(done) - 1)
-        return F.when((F.size(done) > 0) & (run["low"] <= end(last(done))), F.concat(rest, F.array(longer))).otherwise(F.concat(done, F.array(run)))
-
-    merged = grouped.withColumn(hits, F.aggregate(F.array_sort("__h"), empty, join))
-    return merged.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns], n, hits, items)
+    return _searched(docs, text, item_files(benchmark, item_id, item_text, limit), window, prefix)
 
 
 def contaminated(n_hit, n_words):
@@ -175,14 +231,16 @@ def n_hit(hits: str):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are not contaminated."""
-    found = with_hits(docs, benchmark, text, item_id, item_text, prefix="__")
-    return found.where(~contaminated(n_hit("__hits"), F.col("__n_words"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of ``docs`` that are not contaminated; columns of ``docs`` beginning with "__decontam_" aren't allowed."""
+    p = "__decontam_"
+    found = with_hits(docs, benchmark, text, item_id, item_text, prefix=p)
+    return found.where(~contaminated(n_hit(f"{p}hits"), F.col(f"{p}n_words"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    """Hit words, matched items and verdict of every document."""
+    """Hit words, matched items, longest match and verdict of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn("n_hit", n_hit("hits"))
     digest = F.sha2(F.array_join(F.sort_array("items"), ",").cast("binary"), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+    longest = F.coalesce(F.array_max("matches.n"), F.lit(0)).cast("long")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"), longest.alias("longest"))

@@ -30,6 +30,24 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """``blocks`` of about ``limit`` bytes where single batches are smaller."""
+
+    def joined() -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= limit:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return blocks(joined(), text, limit)
+
+
 #: 1 for the bytes of a word [^\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z are lower-cased.
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = _WORD[0x41:0x5B] = True

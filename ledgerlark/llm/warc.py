@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mapped, new_folder, stored
+from .shared import mapped, new_folder, open_file, stored
 
 #: Bytes of an archive after which the next record begins another.
 ARCHIVE_BYTES = 64 << 20
@@ -33,16 +33,6 @@ class WarcError(ValueError):
     """An archive that breaks the format."""
 
 
-def open_file(path: str, mode: str) -> BinaryIO:
-    """A file of a local or mounted folder, or of any store that pyarrow knows."""
-    if path.startswith("file:") or "://" not in path:
-        return open("/" + path.split(":", 1)[-1].lstrip("/"), mode)
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(path)
-    return store.open_output_stream(name) if "w" in mode else store.open_input_stream(name)
-
-
 def digest(data: bytes) -> str:
     """SHA-1 in upper-case base32."""
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
