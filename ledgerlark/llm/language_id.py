@@ -6,12 +6,13 @@ of the lower orders are Kneser-Ney's continuation counts (in how many different
 longer strings a string ends), and each order's discount follows from how many of its
 strings were counted once and twice. A string's probability interpolates all orders.
 
-The model that scores is bounded: each language keeps its most counted strings of
-each order, up to ``MAX_GRAMS`` (whole classes of counts at a time), as sorted arrays
-of 64-bit hashes with probabilities and back-off weights. A string that isn't kept
-backs off, as an unseen one does. A text gets the language with the lowest
-cross-entropy per character; it is accepted if that is no higher than what
-``ACCEPT`` of that language's own training texts reach.
+The whole model scores: for each language and order, sorted arrays of 64-bit hashes with
+probabilities and back-off weights, cut into files by ranges of the hash and kept in the
+shared folder. Tasks read the files that their texts need and hold a bounded amount of
+them, so the model may outgrow any executor's memory; it never passes through the
+driver. A text gets the language with the lowest cross-entropy per character. It is
+accepted if that is no higher than what a share ``ACCEPT`` of that language's texts in a
+fold that the model was not fitted on reach.
 """
 
 from __future__ import annotations
@@ -20,24 +21,26 @@ import functools
 import math
 import unicodedata
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructType
 
-from .shared import mapped, stored
+from .shared import mapped, new_folder, open_file, stored
 from .textblocks import blocks, mixed, ranges
 
 ORDER = 5
-#: Strings of each order and language that the scoring model keeps at most.
-MAX_GRAMS = 120_000
-#: Share of a language's training texts that its threshold accepts.
-ACCEPT = 0.995
+#: Strings in a file of the model, about, and bytes of such files that a worker holds.
+PART, HELD_BYTES = 1 << 20, 256 << 20
+#: Share of a language's unseen texts that its threshold accepts, and one in so many training texts (by hash) that thresholds are set on.
+ACCEPT, FOLD = 0.98, 10
 #: Distinct strings counted in a task before they are passed on, and scores remembered in one.
 _HELD = 400_000
 _SPACE = 32
@@ -45,37 +48,41 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
-def _letters() -> np.ndarray:
-    """For each code point its lower-case letter, or a space."""
-    table = np.full(0x110000, _SPACE, np.uint32)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower-case letter or mark, or a space; and whether it is a letter."""
+    table, real = np.full(0x110000, _SPACE, np.uint32), np.zeros(0x110000, bool)
     for code in range(0x110000):
         c = chr(code)
-        if unicodedata.category(c)[0] in "LM":
+        kind = unicodedata.category(c)[0]
+        if kind in "LM":
             low = c.lower()
             table[code] = ord(low) if len(low) == 1 else code
-    return table
+            real[code] = kind == "L"
+    return table, real
 
 
 def symbols(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(characters, starts, letters): each text as 4 spaces, its letters with single spaces between, and a space.
 
     ``offsets`` are bytes; ``starts`` index the characters, the end last; ``letters``
-    counts each text's letters and marks.
+    counts each text's letters, without marks.
     """
+    table, real = _letters()
     raw = np.frombuffer(data, np.uint8)
     before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
-    codes = _letters()[np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
-    if len(codes) != before[-1]:  # bytes that aren't UTF-8: text by text
-        parts = [_letters()[np.frombuffer(data[a:b].decode("utf-8", "replace").encode("utf-32-le"), np.uint32)] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    points = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    if len(points) != before[-1]:  # bytes that aren't UTF-8: text by text
+        parts = [np.frombuffer(data[a:b].decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         before = np.cumsum([0, *map(len, parts)])
-        codes = np.concatenate(parts) if parts else codes
+        points = np.concatenate(parts) if parts else points
+    codes = table[points]
     space = codes == _SPACE
     stay = np.ones(len(codes), bool)
     stay[1:] = ~(space[1:] & space[:-1])
     starts = before[:-1][before[:-1] < len(codes)]
     stay[starts] = ~space[starts]  # none at a text's start
     kept = np.concatenate([[0], np.cumsum(stay)])[before]
-    letters = np.diff(np.concatenate([[0], np.cumsum(~space)])[before])
+    letters = np.diff(np.concatenate([[0], np.cumsum(real[points])])[before])
     sizes = np.diff(kept)
     out = np.full(int(sizes.sum()) + ORDER * len(sizes), _SPACE, np.uint32)
     begin = kept[:-1] + ORDER * np.arange(len(sizes))
@@ -173,50 +180,77 @@ def probabilities(top: DataFrame) -> list[DataFrame]:
 
 
 class Model(NamedTuple):
-    """Sorted hash arrays. logs[k][j]: (hashes, log p) of language j's strings of k + 1 characters; weights: of contexts."""
+    """Where the sorted arrays are: files[k, j] has one path for each range of 2 ** (64 - bits[k]) hashes of language j's strings of k characters."""
 
     name: str
     langs: tuple[str, ...]
-    logs: list[list[tuple[np.ndarray, np.ndarray]]]
-    weights: list[list[tuple[np.ndarray, np.ndarray]]]
+    bits: tuple[int, ...]
+    files: dict[tuple[int, int], list[str | None]]
     floor: np.ndarray
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MAX_GRAMS) -> Model:
-    """A model of all languages named in ``docs``; rows without a language take no part."""
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", part: int = PART) -> Model:
+    """A model of all languages named in ``docs``, every string of them; rows without a language take no part.
+
+    The driver sees the languages' names and the files' (one for about ``part`` strings).
+    """
     tables = probabilities(gram_counts(docs, lang, text))
-    logs, weights = [], []
-    langs: tuple[str, ...] = ()
+    spark = docs.sparkSession
+    kinds = {r["lang"]: r["count"] for r in tables[0].where("n IS NOT NULL").groupBy("lang").count().collect()}
+    langs = tuple(sorted(kinds))
+    bits, rows = [0], None
     for k, t in enumerate(tables, 1):
-        # The least count whose strings and all more counted ones are few enough, from a histogram of counts.
-        classes = t.where("n IS NOT NULL").groupBy("lang", F.least(F.col("n"), F.lit(100_000)).alias("n")).count().collect()
-        if k == 1:
-            langs = tuple(sorted({r["lang"] for r in classes}))
-            sizes = {x: sum(r["count"] for r in classes if r["lang"] == x) for x in langs}
-        least: dict[str, int] = {}
-        for name in langs:
-            total, least[name] = 0, 1
-            for n, number in sorted(((r["n"], r["count"]) for r in classes if r["lang"] == name), reverse=True):
-                if (total := total + number) > most:
-                    least[name] = n + 1
-                    break
-        pick = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("lang")] if least else F.lit(1)
-        held = _hashed(t.where(F.col("n").isNull() | (F.col("n") >= pick)), k, langs).toArrow()
-        which, hashes, p, w = (held[c].to_numpy() for c in ("lang", "hash", "p", "weight"))
-        logs.append([])
-        weights.append([])
-        for j in range(len(langs)):
-            mine = np.flatnonzero(which == j)
-            mine = mine[np.argsort(hashes[mine].view(np.uint64))]
-            context = mine[~np.isnan(w[mine])]
-            known = mine[~np.isnan(p[mine])]
-            logs[-1].append((hashes[known].view(np.uint64), p[known]))
-            weights[-1].append((hashes[context].view(np.uint64), w[context]))
-    return Model(uuid.uuid4().hex, langs, logs, weights, -np.log(np.array([sizes[x] + 1.0 for x in langs])))
+        hashed = stored(_hashed(t.where(F.col("lang").isin(*langs)), k, langs), "hashed")
+        most = hashed.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+        bits.append(max(0, math.ceil(math.log2(most / part))))
+        own = hashed.select(F.lit(k).alias("k"), "lang", (F.shiftrightunsigned("hash", 64 - bits[k]) if bits[k] else F.lit(0).cast("long")).alias("part"), "hash", "p", "weight")
+        rows = rows.unionByName(own) if rows else own
+    files: dict[tuple[int, int], list[str | None]] = {(k, j): [None] * (1 << bits[k]) for k in range(1, ORDER + 1) for j in range(len(langs))}
+    for r in _model_files(rows, new_folder(spark, "model")).collect():
+        files[r["k"], r["lang"]][r["part"]] = r["path"]
+    return Model(uuid.uuid4().hex, langs, tuple(bits), files, -np.log(np.array([kinds[x] + 1.0 for x in langs])))
+
+
+def _model_files(rows: DataFrame, folder: str) -> DataFrame:
+    """(k, lang, part, path): the arrays of each order, language and range of hashes as a file, the hashes sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        held: list[pa.RecordBatch] = []
+        now: tuple | None = None
+        made: list[tuple] = []
+
+        def close() -> None:
+            if not held:
+                return
+            whole = pa.Table.from_batches(held)
+            order = np.argsort(whole["hash"].to_numpy().view(np.uint64))
+            # Each attempt of a task has names of its own; only those of the one that counts are told.
+            path = f"{folder}/{now[0]}-{now[1]}-{now[2]}-{task.taskAttemptId()}"
+            with open_file(path, "wb") as f:
+                for column, kind in (("hash", np.int64), ("p", np.float32), ("weight", np.float32)):
+                    f.write(whole[column].to_numpy().astype(kind)[order].tobytes())
+            made.append((*now, path))
+            held.clear()
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            heads = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for a, b in zip(heads, [*heads[1:], len(keys)], strict=True):
+                if keys[a] != now:
+                    close()
+                    now = keys[a]
+                held.append(batch.slice(a, b - a))
+        close()
+        cols = list(zip(*made, strict=True)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["k", "lang", "part", "path"])
+
+    sorted_ = rows.repartition("k", "lang", "part").sortWithinPartitions("k", "lang", "part")
+    return stored(mapped(sorted_, run, "k int, lang int, part long, path string"), "model-files")
 
 
 def _hashed(table: DataFrame, k: int, langs: tuple[str, ...]) -> DataFrame:
-    """(lang: its place in ``langs``, hash, log p, log weight): strings leave the executors as numbers only."""
+    """(lang: its place in ``langs``, hash, log p, log weight): strings become numbers."""
     place = {x: j for j, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,12 +266,48 @@ def _hashed(table: DataFrame, k: int, langs: tuple[str, ...]) -> DataFrame:
     return mapped(table.select("lang", "gram", "p", "weight"), run, "lang int, hash long, p float, weight float")
 
 
-def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes, values = table
-    if not len(hashes):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-    return hashes[at] == keys, values[at]
+class _Parts:
+    """A model's files as arrays (hashes, log p, log weight), the last used ones held up to ``HELD_BYTES``."""
+
+    def __init__(self) -> None:
+        self.held: OrderedDict[str, tuple[np.ndarray, ...]] = OrderedDict()
+        self.size = 0
+
+    def of(self, path: str) -> tuple[np.ndarray, ...]:
+        if path in self.held:
+            self.held.move_to_end(path)
+            return self.held[path]
+        with open_file(path, "rb") as f:
+            raw = f.read()
+        n = len(raw) // 16
+        arrays = np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.float32, n, 8 * n), np.frombuffer(raw, np.float32, n, 12 * n)
+        self.held[path] = arrays
+        self.size += len(raw)
+        while self.size > HELD_BYTES and len(self.held) > 1:
+            self.size -= 16 * len(self.held.popitem(last=False)[1][0])
+        return arrays
+
+
+_PARTS = _Parts()
+
+
+def _found(model: Model, k: int, j: int, keys: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether it is there, its log p (1) or log weight (2)) of strings of k characters in language j."""
+    there, out = np.zeros(len(keys), bool), np.zeros(len(keys))
+    paths, bits = model.files[k, j], model.bits[k]
+    parts = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    order = np.argsort(parts, kind="stable") if bits else np.arange(len(keys))
+    bounds = np.searchsorted(parts[order], np.arange(len(paths) + 1))
+    for path, a, b in zip(paths, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if path is None or a == b:
+            continue
+        arrays, mine = _PARTS.of(path), order[a:b]
+        at = np.minimum(np.searchsorted(arrays[0], keys[mine]), len(arrays[0]) - 1)
+        values = arrays[column][at]
+        # A string can be there as a context only, or as a text's end only.
+        there[mine] = (arrays[0][at] == keys[mine]) & ~np.isnan(values)
+        out[mine] = values
+    return there, out
 
 
 def log_probabilities(model: Model, chars: np.ndarray) -> np.ndarray:
@@ -253,9 +323,12 @@ def log_probabilities(model: Model, chars: np.ndarray) -> np.ndarray:
     for j in range(len(model.langs)):
         value = np.full(len(chars), model.floor[j])
         for k in range(1, ORDER + 1):
-            there, p = _found(model.logs[k - 1][j], suffix[k - 1])
-            context, weight = _found(model.weights[k - 2][j], prefix[k - 1]) if k > 1 else (None, None)
-            value = np.where(there, p, value if k == 1 else value + np.where(context, weight, 0.0))
+            there, p = _found(model, k, j, suffix[k - 1], 1)
+            if k > 1:
+                context, weight = _found(model, k - 1, j, prefix[k - 1], 2)
+                value = np.where(there, p, value + np.where(context, weight, 0.0))
+            else:
+                value = np.where(there, p, value)
         out[:, j] = value
     return out
 
@@ -327,28 +400,38 @@ def scored(docs: DataFrame, model: Model, text: str = "text", prefix: str = "")
     return mapped(docs, run, StructType([*docs.schema]).add(prefix + "n_letters", LongType()).add(prefix + "entropy", ArrayType(DoubleType())))
 
 
-def identified(docs: DataFrame, training: str, lang: str = "lang", text: str = "text", most: int = MAX_GRAMS) -> DataFrame:
-    """``docs`` less ``text`` and ``lang``, with lang_pred, score and accepted.
+def identified(docs: DataFrame, training: str, lang: str = "lang", text: str = "text", accept: float = ACCEPT, part: int = PART) -> DataFrame:
+    """``docs`` less ``text`` and ``lang``, with lang_pred, score and accepted, which replace columns of these names.
 
     Learns from rows where the SQL condition ``training`` holds and the language isn't
     null. Texts that are null or have no letter, and all texts if nothing was learnt,
     are ``und`` with score 0, not accepted. The score is the best language's share
     among all, by their probabilities per character. Equal entropies go to the first
-    name.
+    name. Repeated rows each keep a row.
+
+    Of the training texts one in ``FOLD``, chosen by a hash of the text so that copies stay
+    together, isn't fitted: a language's threshold is the share ``accept`` of the n + 1
+    entropies of its n texts there and infinity. So it accepts that share of unseen texts
+    like them, and anything where the fold has too few of them to tell.
     """
-    model = train(docs.where(training).select(lang, text), lang, text, most)
+    new = ("lang_pred", "score", "accepted")
+    trains = F.expr(f"coalesce({training}, false)") & F.col(f"`{lang}`").isNotNull()
+    fold = F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(FOLD)) == 0
+    model = train(docs.where(trains & ~fold).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")), part=part)
     names = F.array(*[F.lit(x) for x in model.langs]).cast("array<string>")
-    rest = [c for c in docs.columns if c not in (lang, text)]
-    rows = docs.select(*rest, F.when(F.expr(f"coalesce({training}, false)"), F.col(lang).cast("string")).alias("__own"), F.col(text).alias("__text"))
+    rest = [c for c in docs.columns if c not in (lang, text, *new)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.when(trains & fold, F.col(f"`{lang}`").cast("string")).alias("__own"), F.col(f"`{text}`").alias("__text"))
     found = stored(scored(rows, model, "__text", "__").drop("__text"), "entropies")
     best = F.array_min("__entropy")
     own = F.get("__entropy", F.array_position(names, F.col("__own")).cast("int") - 1)
-    limits = found.where("__own IS NOT NULL AND __entropy IS NOT NULL").groupBy("__own").agg(F.percentile_approx(own, ACCEPT, 10_000).alias("limit")).collect()
-    limit = F.coalesce(F.create_map(*[F.lit(x) for r in limits for x in (r["__own"], float(r["limit"]))])[F.col("lang_pred")], F.lit(-math.inf)) if limits else F.lit(-math.inf)
+    seen = found.where("__own IS NOT NULL").select(F.col("__own").alias("lang"), own.alias("x")).where("x IS NOT NULL")
+    endless = docs.sparkSession.createDataFrame([(x, math.inf) for x in model.langs], "lang string, x double")
+    limits = seen.unionByName(endless).groupBy("lang").agg(F.percentile_approx("x", accept, 10_000).alias("limit")).collect()
+    limit = F.coalesce(F.create_map(*[F.lit(x) for r in limits for x in (r["lang"], float(r["limit"]))])[F.col("lang_pred")], F.lit(-math.inf)) if limits else F.lit(-math.inf)
     some = F.col("__entropy").isNotNull() & (F.size("__entropy") > 0)
     share = F.lit(1.0) / F.aggregate("__entropy", F.lit(0.0), lambda a, x: a + F.exp(best - x))
     named = found.withColumn("lang_pred", F.when(some, F.get(names, F.array_position(F.col("__entropy"), best).cast("int") - 1)).otherwise("und"))
-    return named.withColumns({"score": F.when(some, share).otherwise(F.lit(0.0)), "accepted": F.coalesce(some & (best <= limit), F.lit(False)).cast(BooleanType())}).select(*rest, "lang_pred", "score", "accepted")
+    return named.withColumns({"score": F.when(some, share).otherwise(F.lit(0.0)), "accepted": F.coalesce(some & (best <= limit), F.lit(False)).cast(BooleanType())}).select(*[F.col(f"`{c}`") for c in rest], *new)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
