@@ -28,6 +28,13 @@ class Rule:
 
 # label, SPDX identifiers, keywords, patterns; a space in a pattern stands for _GAP.
 _FAMILIES: tuple[tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]], ...] = (
+    ("gpl-2-classpath", (), ("classpath",), (r"gnu general public license version 2 with the classpath exception", r"gpl[ v-]{0,3}2 with classpath exception", r"with the classpath exception", r"as a special exception the copyright holders of this library give you permission to link this library with independent modules")),
+    ("gcc-exception", (), ("runtime",), (r"gnu general public license version 3 with gcc runtime library exception", r"gcc runtime library exception")),
+    ("apache-2-llvm", (), ("llvm",), (r"apache license v ?2\.0 with llvm exceptions", r"under the apache license with llvm exceptions")),
+    ("0bsd", ("0bsd",), ("bsd", "0bsd"), (r"bsd zero clause licen[cs]e", r"zero clause bsd(?: licen[cs]e)?", r"0 clause bsd", r"free public license 1\.0\.0")),
+    ("eclipse-distribution", (), ("eclipse",), (r"eclipse distribution license v(?:ersion )?1\.0", r"eclipse distribution license")),
+    ("cpal", ("cpal-1.0",), ("attribution",), (r"common public attribution license version 1\.0", r"common public attribution license")),
+    ("ms-lpl", (), ("limited",), (r"microsoft limited public license", r"microsoft reference source license")),
     ("mit", ("mit", "mit-0", "x11"), ("mit",), (r"permission is hereby granted free of charge to any person obtaining a copy", r"the software is provided as is without warranty of any kind express or implied", r"the mit license mit", r"mit x11 license", r"expat license", r"the mit license", r"mit licen[cs]ed?")),
     ("apache-2", ("apache-2.0",), ("apache",), (r"apache license version 2(?:\.0)?", r"apache license 2(?:\.0)?", r"apache 2(?:\.0)? licen[cs]ed?", r"apache software license 2(?:\.0)?", r"asl 2(?:\.0)?", r"apache-2(?:\.0)?")),
     ("apache-1", ("apache-1.0", "apache-1.1"), ("apache",), (r"apache software license version 1\.[01]", r"apache license version 1\.[01]", r"apache license 1\.[01]")),
@@ -90,13 +97,57 @@ _FAMILIES: tuple[tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]],
     ("rail", (), ("rail", "responsible ai"), (r"(?:creativeml |bigscience )?open rail m licen[cs]e", r"responsible ai licen[cs]e", r"open rail")),
     ("public-domain", (), ("public domain",), (r"dedicated to the public domain", r"released into the public domain", r"in the public domain", r"this work is public domain")),
     ("all-rights-reserved", (), ("rights reserved",), (r"all rights reserved", r"some rights reserved")),
+    ("lppl", ("lppl-1.3c",), ("latex", "lppl"), (r"latex project public license version 1\.3[abc]?", r"latex project public license", r"lppl version 1\.3[abc]?", r"lppl 1\.[0-3][abc]?")),
+    ("cecill", ("cecill-2.1", "cecill-b", "cecill-c"), ("cecill",), (r"cecill free software license agreement", r"cecill licen[cs]e agreement", r"licence cecill", r"cecill [bc] licen[cs]e", r"cecill[ v-]{0,3}2\.[01]")),
+    ("mulan", ("mulanpsl-2.0",), ("mulan",), (r"mulan permissive software license v ?[12]", r"mulan permissive software license", r"mulan psl v ?[12]", r"mulan public license v ?[12]")),
+    ("upl", ("upl-1.0",), ("permissive",), (r"universal permissive license v(?:ersion )?1\.0", r"universal permissive license")),
+    ("w3c", ("w3c",), ("w3c",), (r"w3c software and document notice and license", r"w3c software notice and license", r"w3c document license", r"w3c test suite license")),
+    ("libpng", ("libpng-2.0",), ("libpng", "png"), (r"png reference library license version 2", r"png reference library license", r"libpng licen[cs]e")),
+    ("ijg", ("ijg",), ("jpeg",), (r"independent jpeg group licen[cs]e", r"based in part on the work of the independent jpeg group")),
+    ("freetype", ("ftl",), ("freetype",), (r"the freetype project licen[cs]e", r"freetype licen[cs]e", r"portions of this software are copyright of the freetype project")),
+    ("hpnd", ("hpnd",), ("disclaimer",), (r"historical permission notice and disclaimer",)),
+    ("sleepycat", ("sleepycat",), ("sleepycat",), (r"sleepycat public licen[cs]e", r"sleepycat licen[cs]e")),
+    ("qpl", ("qpl-1.0",), ("qpl",), (r"the q public license version 1\.0", r"q public license", r"qpl[ v-]{0,3}1\.0")),
+    ("rpl", ("rpl-1.5",), ("reciprocal",), (r"reciprocal public license version 1\.[15]", r"reciprocal public license 1\.[15]", r"reciprocal public license")),
+    ("apsl", ("apsl-2.0",), ("apple",), (r"apple public source license version [12]\.[0-2]", r"apple public source license")),
+    ("sun", ("sissl", "spl-1.0"), ("sun", "industry"), (r"sun industry standards source license", r"sun public license version 1\.0", r"sun public license")),
+    ("ipl", ("ipl-1.0",), ("ibm",), (r"ibm public license version 1\.0", r"ibm public license")),
+    ("intel", ("intel",), ("intel",), (r"intel open source license", r"intel simplified software license")),
+    ("nvidia", (), ("nvidia",), (r"nvidia open model license", r"nvidia source code license", r"nvidia software license agreement")),
+    ("beerware", ("beerware",), ("beer", "beerware"), (r"the beer ware license", r"beerware licen[cs]e", r"you can buy me a beer in return")),
+    ("json", ("json",), ("evil", "json"), (r"the software shall be used for good not evil", r"the json license")),
+    ("fair", ("fair",), ("instrument", "fair"), (r"usage of the works is permitted provided that this instrument is retained", r"the fair license")),
+    ("cern-ohl", ("cern-ohl-s-2.0", "cern-ohl-w-2.0", "cern-ohl-p-2.0"), ("cern",), (r"cern open hardware licen[cs]e version [12](?:\.[0-9])?", r"cern open hardware licen[cs]e v ?[12](?:\.[0-9])?", r"cern open hardware licen[cs]e", r"cern ohl")),
+    ("tapr", ("tapr-ohl-1.0",), ("tapr",), (r"tapr open hardware license version 1\.0", r"tapr open hardware license", r"tapr noncommercial hardware license")),
+    ("solderpad", ("shl-2.1",), ("solderpad",), (r"solderpad hardware licen[cs]e version [0-2]\.[0-9]+", r"solderpad hardware licen[cs]e")),
+    ("cdla", ("cdla-permissive-2.0", "cdla-sharing-1.0"), ("cdla", "data"), (r"community data license agreement permissive version [12]\.0", r"community data license agreement sharing version 1\.0", r"community data license agreement", r"cdla permissive [12]\.0", r"cdla sharing 1\.0")),
+    ("commons-clause", (), ("clause",), (r"commons clause license condition v ?1\.0", r"subject to the commons clause", r"commons clause")),
+    ("polyform", ("polyform-noncommercial-1.0.0", "polyform-small-business-1.0.0"), ("polyform",), (r"polyform noncommercial license(?: 1\.0\.0)?", r"polyform small business license(?: 1\.0\.0)?", r"polyform strict license(?: 1\.0\.0)?", r"polyform shield license(?: 1\.0\.0)?")),
+    ("parity", ("parity-7.0.0",), ("parity", "prosperity"), (r"the parity public license 7\.0\.0", r"parity public license", r"prosperity public license 3\.0\.0", r"prosperity public license")),
+    ("source-available", (), ("confluent", "timescale", "redis", "community"), (r"confluent community license", r"timescale license agreement", r"redis source available license", r"cockroach community license", r"functional source license")),
+    ("llama", (), ("llama",), (r"llama [234](?:\.[0-9])? community license agreement", r"llama [234](?:\.[0-9])? community license", r"llama [234](?:\.[0-9])? acceptable use policy", r"built with meta llama")),
+    ("gemma", (), ("gemma",), (r"gemma terms of use", r"gemma prohibited use policy")),
+    ("etalab", ("etalab-2.0",), ("ouverte", "etalab"), (r"licence ouverte open licen[cs]e", r"licence ouverte", r"etalab 2\.0")),
+    ("nasa", ("nasa-1.3",), ("nasa",), (r"nasa open source agreement version 1\.3", r"nasa open source agreement")),
+    ("fsf-all-permissive", ("fsfap",), ("medium",), (r"copying and distribution of this file with or without modification are permitted in any medium without royalty",)),
+    ("bzip2", ("bzip2-1.0.6",), ("bzip2",), (r"bzip2 and libbzip2 licen[cs]e", r"bzip2 licen[cs]e")),
+    ("unicode", ("unicode-3.0", "icu"), ("unicode", "icu"), (r"unicode inc license agreement data files and software", r"unicode license v ?3", r"unicode license agreement", r"icu license")),
+    ("tcl", ("tcl",), ("tcl",), (r"tcl tk licen[cs]e", r"tcl licen[cs]e")),
+    ("ruby", ("ruby",), ("ruby",), (r"under the same terms as ruby", r"ruby licen[cs]e")),
+    ("perl", (), ("perl",), (r"under the same terms as perl", r"perl artistic licen[cs]e")),
+    ("zpl", ("zpl-2.1",), ("zope",), (r"zope public license version 2\.[01]", r"zope public license")),
+    ("blue-oak", ("blueoak-1.0.0",), ("oak",), (r"blue oak model license 1\.0\.0", r"blue oak model license")),
+    ("hippocratic", (), ("hippocratic",), (r"hippocratic license version [1-3]\.[0-9]", r"hippocratic license")),
+    ("anti-capitalist", (), ("capitalist",), (r"anti capitalist software license",)),
+    ("noncommercial", (), ("commercial", "noncommercial", "academic", "research"), (r"for non ?commercial use only", r"for non ?commercial research purposes only", r"free for non ?commercial use", r"may not be used for commercial purposes", r"for academic use only", r"for research purposes only")),
+    ("evaluation", (), ("evaluation",), (r"for evaluation purposes only", r"evaluation license agreement")),
+    ("shareware", (), ("shareware", "freeware"), (r"this program is shareware", r"this software is shareware", r"freeware licen[cs]e", r"this software is freeware")),
+    ("eula", (), ("agreement", "user"), (r"end user licen[cs]e agreement", r"by installing this software you agree to the terms of this agreement")),
+    ("no-training", (), ("training", "train"), (r"may not be used to train", r"may not be used for training", r"no part of this work may be used to train", r"text and data mining reserved")),
     ("proprietary", (), ("proprietary", "confidential"), (r"proprietary and confidential", r"confidential and proprietary", r"unauthorized copying of this file via any medium is strictly prohibited")),
 )
 # Phrases of the contract's base labels: label, words.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-#: Words of which a text with any detection has one: the first gate.
-GATE = (b"licen", b"copyright", b"cc", b"gnu", b"gpl", b"mit", b"apache", b"bsd", b"domain", b"spdx", b"commons", b"reserved", b"proprietary", b"permission", b"redistribution", b"unencumbered", b"confidential", b"provided", b"advertising", b"neither", b"odbl", b"cddl", b"mpl", b"epl", b"wtfpl", b"eupl", b"pddl", b"sspl", b"rail", b"ms", b"odc", b"fdl", b"asl", b"dedication", b"attribution", b"released", b"distributed", b"available", b"published", b"unauthorized", b"public", b"software", b"open")
-
 
 def _compiled(pattern: str) -> re.Pattern[bytes]:
     gaps = {"[ v-]": "[ v-]", " ?": f"(?:{_GAP})?", " ": _GAP}
@@ -133,5 +184,5 @@ def rules() -> list[Rule]:
     return out
 
 
-#: The base phrases, matched as consecutive words with anything but word characters between them.
-BASE_PATTERNS = tuple((label, re.compile(rb"(?<![0-9a-z\x80-\xff])" + rb"[^0-9a-z\x80-\xff]+".join(w.encode() for w in words.split()) + rb"(?![0-9a-z\x80-\xff])")) for label, words in BASE)
+#: The base phrases, matched as consecutive words with anything but word characters between them: label, a word that a text must hold, pattern.
+BASE_PATTERNS = tuple((label, words.split()[0 if label == "apache-2" else 2].encode(), re.compile(rb"(?<![0-9a-z\x80-\xff])" + rb"[^0-9a-z\x80-\xff]+".join(w.encode() for w in words.split()) + rb"(?![0-9a-z\x80-\xff])")) for label, words in BASE)

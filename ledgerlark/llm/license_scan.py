@@ -1,16 +1,17 @@
 """License scans: ordered signature rules behind keyword gates.
 
-A text is lower-cased (A-Z) and passes a first gate (any of a few words in it), then
-each rule's own keywords; only then is a pattern run. Detections are byte intervals.
-They are resolved by priority: one that lies within the interval of a detection of
-higher priority, or that overlaps one, is suppressed. Base phrases are found apart
-from that and always stay.
+A text is lower-cased (A-Z) and each distinct keyword is looked for once; a rule's pattern
+is run only where one of its keywords, of which every match holds one, is there.
+Detections are byte intervals. They are resolved by priority: one that lies within the
+interval of a detection of higher priority, or that overlaps one, is suppressed. Base
+phrases are found apart from that and always stay.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
-from .license_rules import BASE_PATTERNS, GATE, Rule, rules
+from .license_rules import BASE_PATTERNS, Rule, rules
 from .shared import mapped
 from .textblocks import LOWER, blocks, word_spans
 
@@ -29,24 +30,29 @@ def _rules() -> tuple[tuple[Rule, ...], tuple[bytes, ...]]:
     return found, tuple(sorted({k for r in found for k in r.keywords}))
 
 
+def resolved(found: Iterable[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """What stays of detections that come by falling priority: those clear of all that came before, by start."""
+    starts: list[int] = []
+    kept: list[tuple[int, int, Rule]] = []
+    for low, high, rule in found:
+        # What is kept doesn't overlap, so only the neighbours can.
+        i = bisect_left(starts, low)
+        if (i == 0 or kept[i - 1][1] <= low) and (i == len(kept) or kept[i][0] >= high):
+            starts.insert(i, low)
+            kept.insert(i, (low, high, rule))
+    return kept
+
+
 def detections(text: bytes) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) of what stands in lower-cased ``text`` after suppression, by start."""
     ordered, keywords = _rules()
     there = {k for k in keywords if k in text}
-    kept: list[tuple[int, int, Rule]] = []
-    for rule in ordered:
-        if there.isdisjoint(rule.keywords):
-            continue
-        for m in rule.pattern.finditer(text):
-            low, high = m.span()
-            if all(high <= a or low >= b for a, b, _ in kept):
-                kept.append((low, high, rule))
-    return sorted(kept, key=lambda x: x[:2])
+    return resolved((*m.span(), rule) for rule in ordered if not there.isdisjoint(rule.keywords) for m in rule.pattern.finditer(text)) if there else []
 
 
 def base_places(text: bytes) -> list[tuple[int, int, str]]:
     """(start, end, label) of each place of a base phrase in lower-cased ``text``."""
-    return sorted((*m.span(), label) for label, pattern in BASE_PATTERNS for m in pattern.finditer(text))
+    return sorted((*m.span(), label) for label, word, pattern in BASE_PATTERNS if word in text for m in pattern.finditer(text))
 
 
 def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
@@ -69,10 +75,6 @@ def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
             found: list[list[dict]] = []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 body = lowered[a:b]
-                if not any(k in body for k in GATE):
-                    base.append([])
-                    found.append([])
-                    continue
                 places = base_places(body)
                 at = np.searchsorted(starts, [a + p[0] for p in places]) - np.searchsorted(starts, a)
                 base.append([{"start": int(s), "label": p[2]} for s, p in zip(at, places, strict=True)])
