@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import mapped, stored
+from .textblocks import ranges
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _PLACES = (np.arange(8) * 256).astype(np.int16)
@@ -75,30 +76,76 @@ def _keyed(rows: DataFrame, halves: list, bits: int, *carried: str) -> tuple[Dat
     return table, asked
 
 
+#: Masks of up to three of 16 bits, the least first.
+_BALL = np.array(sorted((m for m in range(1 << 16) if m.bit_count() <= 3), key=lambda m: (m.bit_count(), m)), np.uint64)
+
+
+class _Forest:
+    """Links that join what no earlier link has joined."""
+
+    def __init__(self, nodes: np.ndarray):
+        self.nodes = np.unique(nodes)
+        self.root = np.arange(len(self.nodes))
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Takes in links between fingerprints; of those that go out of one tree one counts at a time."""
+        i, j = np.searchsorted(self.nodes, a), np.searchsorted(self.nodes, b)
+        while True:
+            p, q = self.root[i], self.root[j]
+            apart = p != q
+            if not apart.any():
+                return
+            i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+            high, first = np.unique(np.maximum(p, q), return_index=True)
+            # A root hangs itself under a lesser one, so no ring can arise.
+            self.root[high] = np.minimum(p, q)[first]
+            self.links.append((self.nodes[i[first]], self.nodes[j[first]]))
+            while (up := self.root[self.root] != self.root).any():
+                self.root[up] = self.root[self.root[up]]
+
+    def table(self) -> pa.Table:
+        a, b = (np.concatenate([x[k] for x in self.links] or [np.zeros(0, np.uint64)]) for k in (0, 1))
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+
+def _near(left: np.ndarray, right: np.ndarray, shift: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within three bits. What differs between all of a part, but for few bits, is the 16 bits from ``shift`` on.
+
+    Few are compared each with each. Of many, each of ``left`` looks up the ball of its 16
+    bits in ``right``, so the time is linear.
+    """
+    if len(left) * len(right) <= len(_BALL) * (len(left) + len(right)):
+        for at in range(0, len(left), 256):
+            rows, cols = np.nonzero(np.bitwise_count(left[at : at + 256, None] ^ right[None, :]) <= 3)
+            yield left[at + rows], right[cols]
+        return
+    free = (right >> np.uint64(shift)) & np.uint64(0xFFFF)
+    order = np.argsort(free, kind="stable")
+    right, first = right[order], np.searchsorted(free[order], np.arange((1 << 16) + 1))
+    mine = ((left >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64)
+    for mask in _BALL.astype(np.int64).tolist():
+        value = mine ^ mask
+        times = first[value + 1] - first[value]
+        a, b = np.repeat(left, times), right[ranges(first[value], times)]
+        close = np.bitwise_count(a ^ b) <= 3
+        yield a[close], b[close]
+
+
 def _forest(batch: pa.Table) -> pa.Table:
-    """Links of a bucket's entries with each other and with its questions, less those that close a ring.
+    """A spanning forest of the links of a bucket's entries with each other and with its questions.
 
     ``flipped`` rows stand under a value one bit above theirs; two of them needn't meet,
     and nor need two questions.
     """
     fp, asks, flipped = batch["fp"].to_numpy().view(np.uint64), batch["asks"].to_numpy(), batch["flipped"].to_numpy()
-    out_a, out_b = [], []
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
+    # The bucket fixes one 32-bit segment, the part a half of the other one; the second half is free.
+    shift = (0 if batch["s1"][0].as_py() == 0 else 32) + (0 if batch["seg"][0].as_py() == 0 else 16)
+    forest = _Forest(fp)
     for left, right in ((fp, fp[~asks & ~flipped]), (fp[asks & ~flipped], fp[~asks & flipped])):
-        for at in range(0, len(left), 256):
-            rows, cols = np.nonzero(np.bitwise_count(left[at : at + 256, None] ^ right[None, :]) <= 3)
-            for i, j in zip(left[at + rows].tolist(), right[cols].tolist(), strict=True):
-                if i != j and (p := find(i)) != (q := find(j)):
-                    parent[p] = q
-                    out_a.append(i)
-                    out_b.append(j)
-    return pa.table({"a": np.array(out_a, np.uint64).view(np.int64), "b": np.array(out_b, np.uint64).view(np.int64)})
+        for a, b in _near(left, right, shift):
+            forest.add(a, b)
+    return forest.table()
 
 
 def near_links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -106,7 +153,8 @@ def near_links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
     Buckets of up to ``heavy`` table entries give every verified pair. A larger one
     is divided again by the other segment's 16-bit halves in the same way; such a
-    part has at most 2**16 distinct entries, and gives a spanning forest of its links.
+    part has at most 2**16 distinct entries, and gives a spanning forest of its links in
+    time linear in its rows.
     """
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(0xFFFFFFFF)
     table, asked = _keyed(distinct.select("fp"), [high, low], 32, "fp")

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import xxhash
 
 from ledgerlark.llm.components import connected_components
-from ledgerlark.llm.simhash_dedup import keep_one, near_duplicates, near_links, simhash
+from ledgerlark.llm.simhash_dedup import _BALL, _Forest, _near, keep_one, near_duplicates, near_links, op9, simhash
 
 
 def brute_components(links, nodes):
@@ -63,6 +64,30 @@ def test_a_full_bucket_links_in_whichever_half_the_entry_has_the_0(spark):
             assert (min(a, b), max(a, b)) in {(min(r), max(r)) for r in links}, (high, low, x == a)
 
 
+def test_balls_find_what_each_with_each_finds():
+    rng = np.random.default_rng(3)
+    for shift in (0, 16, 32, 48):
+        base = np.uint64(0x0123456789ABCDEF)
+        flips = lambda n: np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+        free = rng.integers(0, 1 << 16, 6000, dtype=np.uint64) << np.uint64(shift)
+        left, right = base ^ free[:3000] ^ flips(3000), base ^ free[3000:]
+        got = {p for a, b in _near(left, right, shift) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        want = {(a, int(right[k])) for a in left.tolist() for k in np.flatnonzero(np.bitwise_count(np.uint64(a) ^ right) <= 3)}
+        assert len(left) * len(right) > len(_BALL) * 6000 and got == want
+
+
+def test_a_forest_joins_what_its_links_join():
+    rng = random.Random(4)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    forest = _Forest(np.arange(200, dtype=np.uint64))
+    for at in range(0, 150, 40):
+        a, b = zip(*links[at : at + 40], strict=True)
+        forest.add(np.array(a, np.uint64), np.array(b, np.uint64))
+    out = [(r["a"], r["b"]) for r in forest.table().to_pylist()]
+    want = brute_components(links, range(200))
+    assert set(out) <= set(links) and brute_components(out, range(200)) == want and len(out) == 200 - len(set(want.values()))
+
+
 def test_components_of_chains_stars_and_nulls(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 200), (None, 3), (201, None)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -81,3 +106,13 @@ def test_documents_with_nulls_ties_and_clashing_columns(spark):
     assert kept.columns == docs.columns
     assert sorted(r.fp for r in kept.collect()) == [2, 3, 4, 6, 7]
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_query(spark, tmp_path):
+    texts = ["one two three four five six seven eight nine ten", "One Two three four five six seven eight nine ten", "quite another text with other words", None, " "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op9(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}
+    by = {r.doc_id: r for r in got.collect()}
+    assert all(by[k].fingerprint == f"{simhash((t or '').encode()):016x}" for k, t in enumerate(texts))
+    assert [by[k].component_id for k in range(5)] == [0, 0, 2, 3, 3]
