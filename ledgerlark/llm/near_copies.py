@@ -12,16 +12,19 @@ bits finds few of them. This module completes it, and verifies all it finds:
    the rarest, as many as it needs to meet any class with which it shares ``SHARE`` of all
    its passages, and ``KEYS`` at most. So a passage that a third of all texts have brings
    nobody together unless a text has hardly anything else.
-4. Classes that keep the same passage are compared by their whole sets. A crowded passage
-   is dealt out in blocks, of which each pair is compared once, and what comes out of a
-   block is a forest of verified links.
-5. Passages miss some links, so a prefix filter over the shingles themselves completes
-   them: in any one order of all shingles, two sets of a similarity of 0.8 share one of
-   the first n - ceil(0.8 n) + 1 of each. Only classes in different components so far are
-   compared, and first by the parities of how many shingles fall on each of 2,048 bits:
-   sets differ in as many shingles as bits at least. So this costs little, and it is exact.
-   The order puts frequent shingles last as far as a sketch of fixed size knows them; its
-   errors cost time, never a link.
+4. Classes that keep the same passage are compared by their whole sets, and give a forest
+   of verified links. A crowded passage is dealt out in blocks; four classes of it are in
+   all its blocks and join them, so a group of kin costs time in proportion to its size.
+5. Steps 3 and 4 are quick and find nearly all; they may miss links. A prefix filter over
+   the shingles themselves completes them: in any one order of all shingles, two sets of a
+   similarity of 0.8 share one of the first n - ceil(0.8 n) + 1 of each. Only classes in
+   different components so far are compared, and first by the parities of how many
+   shingles fall on each of 2,048 bits: sets differ in as many shingles as bits at least.
+   So this costs little, and it is exact. The order puts frequent shingles last as far as a
+   sketch of fixed size knows them; its errors cost time, never a link.
+
+Shingles are compared by 32 bits of their hashes: of two texts of a thousand shingles, one
+in four thousand pairs of texts has a chance match, which moves its similarity by 0.0005.
 """
 
 from __future__ import annotations
@@ -144,7 +147,7 @@ def _forest(rows: list[tuple], similarity: float) -> tuple[list[int], list[int]]
 
 
 def alike(parts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS, most: int = KEYS, hints: DataFrame | None = None) -> DataFrame:
-    """(a, b): verified links between classes ``th`` of stored text_parts; ``hints`` (th, key) are further groups to compare."""
+    """(a, b): verified links between classes ``th`` of stored text_parts, nearly all that there are up to components; ``hints`` (th, key) are further groups to compare."""
     pairs = parts.select("th", "n_keys", F.explode("keys").alias("key"))
     often = stored(pairs.groupBy("key").agg(F.min("th").alias("x"), F.max("th").alias("y")).where("x <> y").select("key"), "often")
     known = stored(pairs.join(often, "key").groupBy("th", "n_keys", "key").agg(F.count("*").alias("copies")).drop("copies"), "known")
@@ -159,15 +162,22 @@ def alike(parts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BL
 
 
 def _compared(chosen: DataFrame, parts: DataFrame, similarity: float, block_rows: int) -> DataFrame:
-    """(a, b): verified links between stored ``chosen`` (th, key, root) of a common key and different roots."""
+    """(a, b): verified links between stored ``chosen`` (th, key, root) of a common key and different roots.
+
+    A key with more classes than a block takes is dealt out in blocks, with four of its
+    classes in each of them: rows are copied a bounded number of times on average, and
+    links between blocks that don't follow from the four are not found.
+    """
     wanted = chosen.select("th").distinct()
     sets = stored(parts.select("th", "shingles").join(stored(wanted, "wanted"), "th").groupBy("th").agg(F.min("shingles").alias("shingles")), "sets")
-    size = stored(chosen.join(sets, "th").groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes")).where("n > 1"), "sizes")
+    mixed_th = F.xxhash64("th")
+    ends = [f(x) for f in (F.min, F.max) for x in (F.struct(F.col("th").alias("x"), F.col("th")), F.struct(mixed_th.alias("x"), F.col("th")))]
+    size = stored(chosen.join(sets, "th").groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"), F.array(*[e["th"] for e in ends]).alias("guides")).where("n > 1"), "sizes")
     dealt = chosen.join(size, "key").join(sets, "th")
     many = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("bytes") / BLOCK_SIZE)).cast("int")
-    mine = F.pmod(F.xxhash64("th"), F.col("many")).cast("int")
-    spread = dealt.withColumn("many", many).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    rows = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "th", (F.col("mine") > F.col("other")).cast("int").alias("side"), "shingles", "root")
+    mine = F.array(F.pmod(mixed_th, F.col("many")).cast("int"))
+    spread = dealt.withColumn("many", many).withColumn("i", F.explode(F.when(F.array_contains("guides", F.col("th")), F.sequence(F.lit(0), F.col("many") - 1)).otherwise(mine)))
+    rows = spread.select("key", "i", F.lit(0).alias("j"), "th", F.lit(0).alias("side"), "shingles", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -256,13 +266,30 @@ def _parities(parts: DataFrame) -> DataFrame:
 
 
 def _possible(chosen: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, root_a, root_b), a < b: pairs of a key and different roots in ``chosen`` that sizes and parities don't rule out."""
+    """(a, b, root_a, root_b), a < b: pairs of a key and different roots in ``chosen`` that sizes and parities don't rule out.
+
+    Rows of a key's commonest root never meet each other. So the others are dealt out in
+    blocks, of which each pair meets, and the commonest root's in chunks, each of which
+    meets each block: a group of kin that is one component already costs no more than its
+    size times the strangers among its keys.
+    """
     wanted = stored(chosen.select("th").distinct(), "wanted")
     known = stored(_parities(parts).join(wanted, "th").groupBy("th").agg(F.min("size").alias("size"), F.min("bits").alias("bits")), "parities")
-    many = chosen.groupBy("key").agg(F.ceil(F.count("*") / _PARITY_ROWS).cast("int").alias("many"))
-    dealt = chosen.join(stored(many, "many"), "key").join(known, "th").withColumn("mine", F.pmod(F.xxhash64("th"), F.col("many")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    rows = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "th", "root", "size", "bits")
+    per_root = chosen.groupBy("key", "root").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "root"))
+    blocks_of = lambda n: F.greatest(F.lit(1), F.ceil(n / _PARITY_ROWS)).cast("int")
+    deal = per_root.groupBy("key").agg(F.sum("n").alias("all"), most.alias("m")).select("key", F.col("m.root").alias("common"), blocks_of(F.col("all") - F.col("m.n")).alias("many"), blocks_of(F.col("m.n")).alias("chunks"))
+    dealt = chosen.join(stored(deal, "deal"), "key").join(known, "th")
+    h = F.xxhash64("th")
+    block, chunk = F.pmod(h, F.col("many")).cast("int"), F.pmod(h, F.col("chunks")).cast("int")
+    place = lambda i, j, c, side: F.struct(i.alias("i"), j.alias("j"), c.alias("c"), side.cast("int").alias("side"))
+    zero, one = F.lit(0), F.lit(1)
+    # Strangers: in each pair of blocks (c = 0), and beside each chunk of the commonest root (c from 1).
+    among = F.transform(F.sequence(zero, F.col("many") - 1), lambda o: place(F.least(block, o), F.greatest(block, o), zero, block > o))
+    beside = F.transform(F.sequence(zero, F.col("chunks") - 1), lambda c: place(block, block, c + 1, zero))
+    kin = F.transform(F.sequence(zero, F.col("many") - 1), lambda b: place(b, b, chunk + 1, one))
+    spread = dealt.withColumn("at", F.explode(F.when(F.col("root") == F.col("common"), kin).otherwise(F.concat(among, beside))))
+    rows = spread.select("key", "at.i", "at.j", "at.c", "at.side", "th", "root", "size", "bits")
     apart = (1 - similarity) / (1 + similarity)
 
     def pairs(group: list[tuple]) -> tuple[np.ndarray, ...]:
@@ -289,17 +316,17 @@ def _possible(chosen: DataFrame, parts: DataFrame, similarity: float) -> DataFra
             group.clear()
 
         for batch in batches:
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != now:
+            for key, i, j, c, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j, c) != now:
                     yield from close()
-                    now = (key, i, j)
+                    now = (key, i, j, c)
                 group.append(tuple(row))
         yield from close()
 
-    return mapped(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long, root_a long, root_b long")
+    return mapped(rows.repartition("key", "i", "j", "c").sortWithinPartitions("key", "i", "j", "c"), run, "a long, b long, root_a long, root_b long")
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, component_id): components of texts whose sets are alike; the least id names one.
 
     What the search of near fingerprints finds is compared by sets as well.
@@ -314,8 +341,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     bits = near_links(prints.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
     one, two = (prints.select(F.col("fp").alias(f"fp_{x}"), F.col("a").alias(f"th_{x}")) for x in "ab")
     near = bits.join(one, "fp_a").join(two, "fp_b").select(F.explode(F.array("th_a", "th_b")).alias("th"), F.xxhash64("th_a", "th_b").alias("key")).distinct()
-    links = stored(alike(parts, similarity, hints=same.unionByName(near)), "links")
-    more = stored(prefix_links(parts, stored(connected_components(links), "linked"), similarity), "more")
+    links = stored(alike(parts, similarity, block_rows, hints=same.unionByName(near)), "links")
+    more = stored(prefix_links(parts, stored(connected_components(links), "linked"), similarity, block_rows), "more")
     linked = connected_components(stored(links.unionByName(more), "all_links"))
     least = stored(parts.groupBy("th").agg(F.min("doc_id").alias("least")), "least")
     roots = stored(least.join(linked.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th")), "roots")
@@ -325,7 +352,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` less those whose component has a smaller id; of rows that repeat an id, all or none stay."""
+    """Rows of ``docs`` less those whose component has a smaller id; of rows that repeat an id, all or none stay.
+
+    Null and empty texts are one group. A row without id stays.
+    """
     found = near_copies(docs, doc_id, text)
     going = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(stored(going, "going"), doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -127,10 +127,15 @@ def judged(signals: DataFrame, cuts: DataFrame, stratum: str, grids: Mapping[str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """Rows of ``docs`` that the rules keep; thresholds are learnt from those of ``docs`` that ``labels`` covers."""
-    need = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(stratum).alias("stratum"))
-    cuts = cutoffs(stored(with_signals(need).drop("text"), "signals"), labels, "stratum")
-    return only(judged(with_signals(docs, text), cuts, stratum), _c("kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of ``docs`` that the rules keep; thresholds are learnt from those of ``docs`` that ``labels`` covers.
+
+    A null text has no words and goes by the base rules, as does an empty one; repeated rows
+    are judged alike; columns of ``docs`` beginning with "__quality_" aren't allowed. Rows
+    are stored once with their signals, so that these are computed once.
+    """
+    rows = stored(with_signals(docs, text), "signals")
+    cuts = cutoffs(rows.select(doc_id, F.col(stratum).alias("stratum"), *[_c(c) for c in ("base_failed", *GRIDS)]), labels, "stratum", doc_id)
+    return only(judged(rows, cuts, stratum), _c("kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
