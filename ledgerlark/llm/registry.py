@@ -1,11 +1,9 @@
-"""The queries of this subpackage for the driver, and their SQL."""
+"""The queries of this subpackage and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
-
 from . import decontaminate, language_id, license_scan, mixing, quality_rules, simhash_dedup, suffix_dedup, token_count, twins, url_filter, warc
 
 
@@ -21,7 +19,6 @@ def queries() -> dict[str, Callable]:
         "op8_url_filter": url_filter.op8,
         "op9_simhash_near_dedup": simhash_dedup.op9,
         "op10_quality_rules": quality_rules.op10,
-        "pipeline": corpus_pipeline.run,
     }
 
 

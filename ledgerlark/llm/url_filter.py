@@ -20,15 +20,25 @@ from .shared import stored
 EPOCH, HOURS = "2024-01-01 00:00:00", 8760
 
 
+#: An absolute URL up to its host.
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/:?#@\[\]]+)"
+#: A host that is an address: no part of it is a domain.
+ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
+
+
 def host(url: Column) -> Column:
-    """The lower-cased host of an absolute URL, without user, port and a dot at its end; null if there is none."""
-    found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)", 1)
+    """The lower-cased host of an absolute URL, without user, port and a dot at its end; an IPv6 address in its brackets; null if there is none."""
+    found = F.regexp_extract(F.lower(url), HOST, 1)
     return F.nullif(F.rtrim(found, F.lit(".")), F.lit(""))
 
 
 def parents(name: Column) -> Column:
-    """A host and the domains that it is in: a.b.c, b.c, c."""
+    """A host and the domains that it is in: a.b.c, b.c, c; of an address only itself."""
     parts = F.split(name, r"\.")
+    return F.when(name.rlike(ADDRESS), F.array(name)).otherwise(_domains(parts))
+
+
+def _domains(parts: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts) - k + 1), "."))
 
 
@@ -105,10 +115,10 @@ def op8(spark, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", F.unix_timestamp("fetched_at").alias("fetched_s"), F.array_join("hits", ",").alias("hits"), "blocked")
 
 
-OP8_SQL = """
+OP8_SQL = f"""
 WITH rows AS (
   SELECT page_id, 1704067200 + (page_id * 7919) % 8760 * 3600 AS fetched_s,
-         nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1), '.'), '') AS host
+         nullif(rtrim(regexp_extract(lower(url), '{HOST}', 1), '.'), '') AS host
   FROM pages
 ), hosts AS (SELECT DISTINCT host AS entry FROM rows WHERE host IS NOT NULL),
 bits AS (  -- CRC-32 by its bitwise definition
@@ -123,7 +133,7 @@ spans AS (
   UNION ALL SELECT 'block-b', 'example.org', 91, 121
 ), hit AS (
   SELECT DISTINCT page_id, host, fetched_s, list || ':' || entry AS hit, list FROM rows JOIN spans
-  ON (host = entry OR ends_with(host, '.' || entry)) AND fetched_s >= 1704067200 + a * 86400 AND fetched_s < 1704067200 + b * 86400
+  ON (host = entry OR ends_with(host, '.' || entry) AND NOT regexp_matches(host, '{ADDRESS}')) AND fetched_s >= 1704067200 + a * 86400 AND fetched_s < 1704067200 + b * 86400
 ), per AS (SELECT page_id, host, fetched_s, string_agg(hit, ',' ORDER BY hit) AS hits, bool_or(list LIKE 'block%') AND NOT bool_or(list LIKE 'allow%') AS blocked FROM hit GROUP BY ALL)
 SELECT r.page_id, r.host, r.fetched_s, coalesce(p.hits, '') AS hits, coalesce(p.blocked, false) AS blocked
 FROM rows r LEFT JOIN per p ON r.page_id = p.page_id

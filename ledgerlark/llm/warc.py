@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,16 +39,26 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def urn(page_id: object) -> str:
+    """The name of a page's record; a null id has none."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{urllib.parse.quote(str(page_id), safe='')}>"
+
+
+def page_of(name: str | None) -> str | None:
+    """The id in a record's name, as text."""
+    return urllib.parse.unquote(name[10:-1]) if name and name.startswith("<urn:page:") else None
+
+
 def member(kind: str, page_id: object, url: str | None, payload: bytes, refers_to: object = None, level: int = 3) -> bytes:
     """A record as one gzip member; a revisit has the headers of its response but no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
     uri = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {_DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {_DATE}"]
     lines += [f"WARC-Target-URI: {uri}"] if uri else []
     lines += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
     return squeeze.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
@@ -171,12 +182,13 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", payload: str = "ht
     """(page_id, url, payload binary, refers_to): refers_to is null for responses.
 
     Of equal payloads of at least ``least`` bytes the smallest id (nulls last) is the
-    response. Payloads are compared by length and SHA-1; the least id is taken per
+    response; rows that repeat its id are responses too. Payloads are compared by length
+    and SHA-1, a null payload is empty; the least id is taken per
     digest before rows are joined, so a payload that all pages share costs one row a
     task, and adaptive execution can split its join.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col("url"), body.alias("payload"), F.sha1(body).alias("sha"))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col("url"), body.alias("payload"), F.concat_ws(":", F.sha1(body), F.length(body)).alias("sha"))
     first = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     again = (F.length("payload") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(stored(first, "first"), "sha", "left").select("page_id", "url", "payload", F.when(again, F.col("first")).alias("refers_to"))
@@ -219,13 +231,9 @@ def read_archives(archives: DataFrame, keep_payload: bool = False, page_type: st
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of all records of ``archive``s.
 
     payload_bytes and payload_digest are of the full payload, for revisits as well.
-    Archives are dealt out evenly; each is read from its start to its end by one task.
+    Archives are dealt out evenly; each is read from its start to its end by one task. Ids
+    are text in the archives and become ``page_type`` by a cast.
     """
-    kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-    def value(urn: str | None) -> object:
-        text = None if urn is None else urn.removeprefix("<urn:page:").removesuffix(">")
-        return None if text in (None, "None") else text if page_type == "string" else int(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +242,7 @@ def read_archives(archives: DataFrame, keep_payload: bool = False, page_type: st
                 held = 0
                 with open_file(path, "rb") as file:
                     for r in read_records(file, keep_payload):
-                        rows.append((value(r.headers["warc-record-id"]), r.headers.get("warc-target-uri"), int(r.http["content-length"]), r.payload_digest, r.kind, value(r.headers.get("warc-refers-to")), r.payload))
+                        rows.append((page_of(r.headers["warc-record-id"]), r.headers.get("warc-target-uri"), int(r.http["content-length"]), r.payload_digest, r.kind, page_of(r.headers.get("warc-refers-to")), r.payload))
                         held += len(r.payload or b"") + 200
                         if held > 1 << 21:
                             yield table(rows)
@@ -243,16 +251,17 @@ def read_archives(archives: DataFrame, keep_payload: bool = False, page_type: st
                     yield table(rows)
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        types = [kinds[page_type], pa.string(), pa.int64(), pa.string(), pa.string(), kinds[page_type], pa.binary()]
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     spread = archives.select("archive").repartition(max(1, min(10_000, archives.count())))
-    return mapped(spread, run, f"page_id {page_type}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {page_type}, payload binary")
+    found = mapped(spread, run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    return found.select(*[F.col(c).cast(page_type).alias(c) if c in ("page_id", "refers_to") else c for c in names])
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     """Every page through an archive and back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     archives = write_archives(with_revisits(pages), new_folder(spark, "warc"))
-    return read_archives(archives).drop("payload", "url")
+    return read_archives(archives, page_type=pages.schema["page_id"].dataType.simpleString()).drop("payload", "url")

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from ledgerlark.llm.shared import stored
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -32,3 +33,19 @@ def test_an_empty_table_goes_through(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_repeated_ids_and_nulls(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    rows = [(k, text(), "en", f"r{k}", "p", k) for k in range(30)] + [(3, text(), "en", "twice", "p", 1), (None, text(), None, "no id", "p", 2), (50, None, "en", "null", "p", 3), (51, "", "en", "empty", "p", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, rate string, p_clean string, th int")
+    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, text())], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    done = docs
+    for name, stage in corpus_pipeline.STAGES:
+        done = stored(stage(spark, done, str(tmp_path)), name)
+        if name != "mixing":
+            assert done.columns == docs.columns, name
+    assert len(set(done.columns)) == len(done.columns) and dict(done.dtypes)["rate"] == "double"
+    assert done.count() == 32 and done.where("doc_id = 3").count() == 2 and done.where("doc_id IS NULL").count() == 1
