@@ -179,15 +179,14 @@ def spend_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def globally_ranked(df: DataFrame, by: list[str]) -> DataFrame:
     """``df`` with ``rank`` (from 1, by columns that are unique together) and ``all``, without a single-task sort.
 
-    A range partitioning by all of ``by`` deals the rows out evenly, into as many parts as
-    the session's shuffles have, ties of the first column included; each part is ranked
-    by itself and shifted by the sizes of the parts before, which are all the driver sees.
-    The parts are written first: sampled bounds could differ between two evaluations.
+    A range partitioning by all of ``by`` deals the rows out evenly, ties of the first column
+    included; adaptive execution joins neighbouring parts that are small. Each part is
+    ranked by itself and shifted by the sizes of the parts before, which are all the driver
+    sees. The parts are written first: sampled bounds could differ between two evaluations.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch(spark, "ranked")
-    df.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id()).write.mode("overwrite").parquet(path)
+    df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()).write.mode("overwrite").parquet(path)
     placed = spark.read.schema(StructType([*df.schema]).add("__part", "integer")).parquet(path)
     sizes = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
     total, shift = 0, []
