@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boards, flows, kpis, streams  # noqa: F401  registration
+from . import boards, flows, kpis, stores, streams  # noqa: F401  registration
 from .star import REGISTRY
 
 

@@ -39,6 +39,12 @@ def facts(gold: DataFrame) -> DataFrame:
     return gold.withColumns(made)
 
 
+def keyed_disputes(chargebacks: DataFrame, users: DataFrame) -> DataFrame:
+    """Chargebacks with their user's key, -1 if there is none, and the warehouse's name of the currency."""
+    known = chargebacks.join(sized(users.select("user_id", "user_key")), "user_id", "left")
+    return known.withColumns({"user_key": F.coalesce("user_key", F.lit(-1)).cast("long"), "currency_code": F.col("currency")})
+
+
 def confirmed(alerts: DataFrame, chargebacks: DataFrame) -> DataFrame:
     """Alerts, of which those with a fraud chargeback are confirmed, with the time of the change."""
     fraud = chargebacks.where(F.col("reason_code").isin(*FRAUD_REASONS)).select("transaction_id").distinct().withColumn("__fraud", F.lit(True))
@@ -124,13 +130,9 @@ class App:
         finally:
             rows.unpersist()
 
-    def _disputes(self, df: DataFrame) -> DataFrame:
-        users = self.dims().users.select("user_id", "user_key")
-        return df.join(sized(users), "user_id", "left").withColumns({"user_key": F.coalesce("user_key", F.lit(-1)).cast("long"), "currency_code": F.col("currency")})
-
     def chargeback_batch(self, df: DataFrame, batch_id: int) -> None:
         """Chargebacks with their user's key; a fraud chargeback confirms the alert on its transaction, in the days that have such alerts."""
-        rows = self._disputes(df).persist()
+        rows = keyed_disputes(df, self.dims().users).persist()
         try:
             self.warehouse.upsert(rows, FACT_CHARGEBACKS)
             fraud = rows.where(F.col("reason_code").isin(*FRAUD_REASONS)).select("transaction_id")
