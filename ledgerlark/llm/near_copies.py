@@ -19,7 +19,7 @@ bits finds few of them. This module completes it, and verifies all it finds:
    the shingles themselves completes them: in any one order of all shingles, two sets of a
    similarity of 0.8 share one of the first n - ceil(0.8 n) + 1 of each. Only classes in
    different components so far are compared, and first by the parities of how many
-   shingles fall on each of 2,048 bits: sets differ in as many shingles as bits at least.
+   shingles fall on each of 1,024 bits: sets differ in as many shingles as bits at least.
    So this costs little, and it is exact. The order puts frequent shingles last as far as a
    sketch of fixed size knows them; its errors cost time, never a link.
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import mapped, stored
+from .shared import mapped, settled, stored
 from .simhash_dedup import near_links, simhash
 from .textblocks import INK, LOWER, SpanHash, blocks, mixed, word_spans
 
@@ -49,10 +49,10 @@ PASSAGE, SHORT = 12, 40
 SHARE, KEYS = 0.35, 12
 #: Classes and bytes of sets in a block.
 BLOCK_ROWS, BLOCK_SIZE = 1024, 4 << 20
-#: Places of the sketch that orders shingles.
-_SKETCH = 1 << 20
+#: Places of each of the two rows of the sketch that orders shingles, and shingles that a task counts together.
+_SKETCH, _COUNTED = 1 << 20, 8 << 20
 #: Bits of the parities that stand for a set, and classes in a block of them.
-_PARITY, _PARITY_ROWS = 2048, 1024
+_PARITY, _PARITY_ROWS = 1024, 1024
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP_BACK = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 
@@ -208,20 +208,45 @@ def _compared(chosen: DataFrame, parts: DataFrame, similarity: float, block_rows
     return mapped(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long")
 
 
+def _places(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where shingles stand in the two rows of the sketch: by their low bits, and by mixed ones."""
+    return shingles % np.uint32(_SKETCH), (shingles * np.uint32(0x9E3779B1)) >> np.uint32(12)
+
+
 def _ordering(parts: DataFrame) -> np.ndarray:
-    """For each place of the sketch the power of two of its most frequent shingle's count, as far as batches of rows repeat it."""
+    """A sketch of two rows; the less of its two values is at least the power of two of a shingle's count, as far as tasks meet it more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, counts = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32), return_counts=True)
+        held: list[bytes] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            values, counts = np.unique(np.frombuffer(b"".join(held), np.uint32), return_counts=True)
             often = counts > 1
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].astype(np.int64)), pa.array(counts[often])], ["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(values[often].astype(np.int64)), pa.array(counts[often])], ["shingle", "n"])
+
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            size += sum(map(len, held[len(held) - batch.num_rows :]))
+            if size > 4 * _COUNTED:
+                yield counted()
+                held.clear()
+                size = 0
+        if held:
+            yield counted()
 
     sums = mapped(parts.select("shingles"), run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = sums.groupBy((F.col("shingle") % _SKETCH).cast("int").alias("place")).agg(F.max(F.floor(F.log2("n"))).cast("int").alias("power")).toArrow()
-    out = np.zeros(_SKETCH, np.uint8)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            power = np.floor(np.log2(batch.column(1).to_numpy())).astype(np.int32)
+            for row, place in enumerate(_places(batch.column(0).to_numpy().astype(np.uint32))):
+                yield pa.RecordBatch.from_arrays([pa.array((place.astype(np.int64) + row * _SKETCH).astype(np.int32)), pa.array(power)], ["place", "power"])
+
+    rows = mapped(sums, placed, "place int, power int").groupBy("place").agg(F.max("power").alias("power")).toArrow()
+    out = np.zeros(2 * _SKETCH, np.uint8)
     out[rows["place"].to_numpy()] = rows["power"].to_numpy()
-    return out
+    return out.reshape(2, _SKETCH)
 
 
 def prefix_links(parts: DataFrame, linked: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -236,7 +261,8 @@ def prefix_links(parts: DataFrame, linked: DataFrame, similarity: float = SIMILA
                 x = np.frombuffer(raw, np.uint32)
                 # Less a little, so that rounding never makes a prefix too short.
                 size = len(x) - math.ceil(similarity * len(x) - 1e-6) + 1
-                prefixes.append(x[np.argsort(order[x % np.uint32(_SKETCH)], kind="stable")[:size]])
+                one, two = _places(x)
+                prefixes.append(x[np.argsort(np.minimum(order[0][one], order[1][two]), kind="stable")[:size]])
             sizes = [len(p) for p in prefixes]
             ths = np.repeat(batch.column(0).to_numpy(), sizes)
             yield pa.RecordBatch.from_arrays([pa.array(ths), pa.array(np.concatenate(prefixes).view(np.int32)) if prefixes else pa.array([], pa.int32())], ["th", "shingle"])
@@ -259,7 +285,7 @@ def _parities(parts: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]
             # The prefix's order and this one take different bits of the hash.
-            bits = [np.packbits(np.bincount(x >> np.uint32(21), minlength=_PARITY) & 1).tobytes() for x in sets]
+            bits = [np.packbits(np.bincount(x >> np.uint32(22), minlength=_PARITY) & 1).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(bits, pa.binary())], ["th", "size", "bits"])
 
     return mapped(parts.select("th", "shingles"), run, "th long, size int, bits binary")
@@ -341,9 +367,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     bits = near_links(prints.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
     one, two = (prints.select(F.col("fp").alias(f"fp_{x}"), F.col("a").alias(f"th_{x}")) for x in "ab")
     near = bits.join(one, "fp_a").join(two, "fp_b").select(F.explode(F.array("th_a", "th_b")).alias("th"), F.xxhash64("th_a", "th_b").alias("key")).distinct()
-    links = stored(alike(parts, similarity, block_rows, hints=same.unionByName(near)), "links")
-    more = stored(prefix_links(parts, stored(connected_components(links), "linked"), similarity, block_rows), "more")
-    linked = connected_components(stored(links.unionByName(more), "all_links"))
+    spark = docs.sparkSession
+    links = settled(spark, lambda: alike(parts, similarity, block_rows, hints=same.unionByName(near)), "links")
+    more = settled(spark, lambda: prefix_links(parts, connected_components(links), similarity, block_rows), "more")
+    linked = connected_components(links.unionByName(more))
     least = stored(parts.groupBy("th").agg(F.min("doc_id").alias("least")), "least")
     roots = stored(least.join(linked.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th")), "roots")
     names = stored(roots.groupBy("root").agg(F.min("least").alias("component_id")), "names")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
@@ -62,13 +63,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What ``build`` gives, stored; the folders that it made on the way are deleted."""
+    """What ``build`` gives, stored; the folders that it made on the way are deleted.
+
+    Spark deletes shuffle files once the driver's heap has let go of the plans that made
+    them, which a roomy heap may not do for long; so the driver is asked to look.
+    """
     made = _MADE.__dict__.setdefault("paths", [])
     before = len(made)
     out = stored(build(), name)
     for path in made[before:-1]:
         drop_folder(spark, path)
     del made[before:-1]
+    gc.collect()
+    spark._jvm.System.gc()
     return out
 
 

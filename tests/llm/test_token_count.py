@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from ledgerlark.llm.token_count import encoder, pieces, with_counts
+from ledgerlark.llm.token_count import encoder, op4, pieces, with_counts
 
 TEXTS = [None, "", " ", "a<|endoftext|>b", "It's 12 o'clock\n\n  now", "été Éte ñ " * 30, "x" * 5000, "one two  three\tfour " * 300, "漢字かな 123 !!??", "ΣΑΣ σας ́x"]
 
@@ -22,3 +22,14 @@ def test_counts_equal_the_library_on_whole_texts(spark, name):
 def test_pieces_join_to_the_text():
     text = b"ab cd " * 1000 + b"!" * 300
     assert b"".join(pieces(text, 50)) == text and max(map(len, pieces(text, 50))) < 400
+
+
+def test_query(spark, tmp_path):
+    texts = [*TEXTS, "word " * 2048, "word " * 2100]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op4(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"}
+    count, _ = encoder("word_bpe_49k.json")
+    for r in got.collect():
+        n = count([texts[r.doc_id]])[0] if texts[r.doc_id] else 0
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((texts[r.doc_id] or "").encode()), n, n > 2048)

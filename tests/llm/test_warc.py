@@ -59,3 +59,13 @@ def test_reader_frames_and_verifies():
     with pytest.raises(WarcError):
         _read(b"plain text")
     assert _read(b"") == []
+
+
+def test_ids_of_any_type(spark):
+    for kind, ids in (("string", ["a>b", "é ü", "None", "", "1\r\n2", None]), ("int", [3, 1, 2, None]), ("decimal(20,0)", [10**19, 5])):
+        pages = spark.createDataFrame([(str(k) if k is not None and kind != "string" else k, "u", f"<p>{n // 2}</p>") for n, k in enumerate(ids)], "page_id string, url string, html string")
+        pages = pages.withColumn("page_id", pages.page_id.cast(kind))
+        want = {str(r.page_id): None if r.refers_to is None else str(r.refers_to) for r in with_revisits(pages).collect()}
+        back = read_archives(write_archives(with_revisits(pages), new_folder(spark, "warc")), page_type=kind)
+        assert dict(back.dtypes)["page_id"] == kind
+        assert {str(r.page_id): None if r.refers_to is None else str(r.refers_to) for r in back.collect()} == want and len(want) == len(ids) - ("None" in ids and None in ids)
