@@ -57,16 +57,16 @@ def _missing(names: tuple[str, ...]) -> Column:
     return out
 
 
-def parse_transactions(bronze: DataFrame) -> DataFrame:
-    """Transactions with ``parsed_ts`` and up to nine reasons against each."""
-    at = F.col("parsed_ts")
+def parse_transactions(bronze: DataFrame, zero_amounts: bool = False) -> DataFrame:
+    """Transactions with ``parsed_ts`` and up to nine reasons against each; an amount of 0 is one unless ``zero_amounts`` are let through."""
+    at, amount = F.col("parsed_ts"), F.col("amount")
     checks = {
         "MALFORMED_JSON": F.col(CORRUPT).isNotNull(),
         "UNSUPPORTED_SCHEMA_VERSION": F.col("schema_version").isNull() | ~F.col("schema_version").isin(*WIRE_VERSIONS),
         "MISSING_REQUIRED_FIELD": _missing(_REQUIRED_TRANSACTION),
         "INVALID_TIMESTAMP": F.col("event_ts").isNotNull() & at.isNull(),
         "FUTURE_TIMESTAMP": at > F.col("kafka_ts") + F.expr(f"INTERVAL {FUTURE_SLACK}"),
-        "INVALID_AMOUNT": (F.col("amount") <= 0) | (F.col("amount") > MOST_AMOUNT),
+        "INVALID_AMOUNT": (amount < 0 if zero_amounts else amount <= 0) | (amount > MOST_AMOUNT),
         "UNKNOWN_CURRENCY": F.col("currency").isNotNull() & usd_rate(F.col("currency")).isNull(),
         "INVALID_COORDINATES": ~F.col("location_lat").between(-90, 90) | ~F.col("location_lon").between(-180, 180),
         "INVALID_CHANNEL": F.col("channel").isNotNull() & ~F.col("channel").isin(*CHANNELS),

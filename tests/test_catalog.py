@@ -61,3 +61,15 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_no_python_in_batch_plans(spark):
     for name in ("rules_scored", "batch_card_features", "spend_deciles", "rule_effectiveness", "dq_valid"):
         assert "Python" not in plan(catalog.queries()[name](spark, SF)) and "Arrow" not in plan(catalog.queries()[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["dq_reason_counts"])
+def test_values_of_0_equal_sql(spark, tmp_path, name):
+    """As sf0.1 has them: among valid payloads, and beside each defect."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (CASE WHEN event_id < 50 THEN 0 ELSE value END AS value) FROM '{SF}/events.parquet'")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    found = con.execute(catalog.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    assert sorted(tuple(plain(v) for v in r) for r in df.select(*names).collect()) == sorted(tuple(plain(v) for v in r) for r in found.fetchall())

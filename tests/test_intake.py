@@ -79,3 +79,9 @@ def test_reason_counts(spark):
     rows = quarantined(parse_transactions(bronze(spark, "", change(TXN, amount=-1), change(TXN, amount=-1, channel="X"))))
     assert {r.reason: r.records for r in reason_counts(rows).collect()} == {"UNSUPPORTED_SCHEMA_VERSION": 1, "MISSING_REQUIRED_FIELD": 1, "INVALID_AMOUNT": 2, "INVALID_CHANNEL": 1}
     assert reason_counts(rows.where(F.lit(False))).count() == 0
+
+
+def test_zero_amounts_are_invalid_unless_let_through(spark):
+    rows = bronze(spark, change(TXN, amount=0), change(TXN, amount=-0.01))
+    assert [r.dq_errors for r in parse_transactions(rows).collect()] == [["INVALID_AMOUNT"]] * 2
+    assert [r.dq_errors for r in parse_transactions(rows, zero_amounts=True).collect()] == [[], ["INVALID_AMOUNT"]]
