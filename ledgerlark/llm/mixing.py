@@ -12,7 +12,8 @@ rates in that of t; then step length 1 is right. A step goes on in the last step
 direction by a share b, subtracts p . m and cuts off at 0, where m holds one number for
 each domain (accelerated projected gradient, begun anew where the residual grows). So
 the rates follow from the list of (b, m) alone, and a step is one pass of sums over a
-narrow table: the driver only sees as many numbers as there are domains.
+narrow table: the driver only sees as many numbers as there are domains. The rates are
+stored every ``HELD`` steps, so the passes' work is in proportion to their number.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import drop_folder, stored, stored_at
 
 DOMAINS = ("clean", "low", "toxic")
 #: Target shares of tokens.
@@ -35,6 +36,8 @@ SAMPLE, BUCKETS = 20_000, 16_384
 #: A bucket counts if its log ratio is so many standard errors from 0.
 SIGNIFICANT = 4.0
 STEPS, TOLERANCE = 200, 1e-6
+#: After so many steps the rates so far are stored, so a pass never repeats more of them.
+HELD = 8
 #: The fit ends where ten steps make the squared residual less by no more than this share.
 GAIN = 1e-4
 #: A domain's share that misses its target by more is told.
@@ -105,19 +108,25 @@ def with_posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]
     return df.drop("__buckets", "__top", *[f"__{x}_{d}" for x in "sw" for d in DOMAINS])
 
 
-def rate(history: Sequence[Sequence[float]]) -> Column:
-    """A document's rate after the steps of ``history``: each has the share of the last step to go on by, then a number for each domain."""
+def _state(history: Sequence[Sequence[float]], now: Column, last: Column) -> Column:
+    """(now, last): a document's rate after the steps of ``history`` and before the last of them; each has the share of the last step to go on by, then a number for each domain."""
+    pair = lambda a, b: F.struct(a.alias("now"), b.alias("last"))
     if not history:
-        return F.lit(1.0)
-    steps = F.split(F.lit(";".join(",".join(map(repr, m)) for m in history)), ";")
-    steps = F.transform(steps, lambda s: F.split(s, ",").cast("array<double>"))
-    pair = lambda now, last: F.struct(now.alias("now"), last.alias("last"))
+        return pair(now, last)
+    # One flat list is folded to a constant; lists within a lambda would be parsed for each row.
+    numbers = F.split(F.lit(",".join(repr(x) for m in history for x in m)), ",").cast("array<double>")
+
+    def step(a: Column, i: Column) -> Column:
+        at = lambda k: F.get(numbers, i * (len(DOMAINS) + 1) + k)
+        down = sum((F.col(f"__p_{d}") * at(k) for k, d in enumerate(DOMAINS, 1)), F.lit(0.0))
+        return pair(F.greatest(F.lit(0.0), a["now"] + at(0) * (a["now"] - a["last"]) - down), a["now"])
 
-    def step(a: Column, m: Column) -> Column:
-        down = sum((F.col(f"__p_{d}") * F.get(m, F.lit(k)) for k, d in enumerate(DOMAINS, 1)), F.lit(0.0))
-        return pair(F.greatest(F.lit(0.0), a["now"] + F.get(m, F.lit(0)) * (a["now"] - a["last"]) - down), a["now"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(history) - 1)), pair(now, last), step)
 
-    return F.aggregate(steps, pair(F.lit(1.0), F.lit(1.0)), step, lambda a: a["now"])
+
+def rate(history: Sequence[Sequence[float]]) -> Column:
+    """A document's rate after the steps of ``history``, from 1 on."""
+    return _state(history, F.lit(1.0), F.lit(1.0))["now"]
 
 
 def _solve(g: list[list[float]], y: list[float]) -> list[float]:
@@ -161,8 +170,11 @@ def fit_rates(table: DataFrame, targets: Mapping[str, float] = TARGETS, steps: i
     history: list[list[float]] = []
     costs: list[float] = []
     before, turn = None, 1.0
+    held, folder = table.select(t, *p.values(), F.lit(1.0).alias("__now"), F.lit(1.0).alias("__last")), None
     while True:
-        now = table.select("*", rate(history).alias("__r")).agg(*[F.sum(t * p[d] * F.col("__r")).alias(d) for d in DOMAINS]).first()
+        recent = history[len(history) - len(history) % HELD :]
+        rated = held.select(t, *p.values(), _state(recent, F.col("__now"), F.col("__last")).alias("__r"))
+        now = rated.select(t, *p.values(), F.col("__r.now").alias("__r")).agg(*[F.sum(t * p[d] * F.col("__r")).alias(d) for d in DOMAINS]).first()
         left = [now[d] - w for d, w in zip(DOMAINS, wanted, strict=True)]
         size = max(map(abs, left)) / once["all"]
         costs.append(sum(a * b for a, b in zip(left, _solve(g, left), strict=True)))
@@ -175,6 +187,14 @@ def fit_rates(table: DataFrame, targets: Mapping[str, float] = TARGETS, steps: i
         ahead = [x + share * (x - y) for x, y in zip(left, before or left, strict=True)]
         history.append([share, *_solve(g, ahead)])
         before, turn = left, after
+        if len(history) % HELD == 0:
+            rated = held.select(t, *p.values(), _state(history[-HELD:], F.col("__now"), F.col("__last")).alias("__r"))
+            old = folder
+            held, folder = stored_at(rated.select(t, *p.values(), F.col("__r.now").alias("__now"), F.col("__r.last").alias("__last")), "rates")
+            if old:
+                drop_folder(table.sparkSession, old)
+    if folder:
+        drop_folder(table.sparkSession, folder)
     missed = {d: x / once["all"] for d, x in zip(DOMAINS, left, strict=True)}
     if size > TOLD:
         warnings.warn(f"targets aren't met; shares of tokens beyond them: {missed}", stacklevel=2)

@@ -49,8 +49,8 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read back, and the folder.
 
     This cuts the lineage, survives lost executors, and forgets how the rows were
     dealt out, so that a later join shuffles both of its sides and adaptive
@@ -59,7 +59,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as ``stored_at`` gives it back."""
+    return stored_at(df, name)[0]
 
 
 def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:

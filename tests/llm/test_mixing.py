@@ -136,3 +136,28 @@ def test_query(spark, tmp_path):
     assert dict(got.dtypes) == {"doc_id": "bigint", "n_tokens": "bigint", "p_clean": "double", "p_low": "double", "p_toxic": "double", "rate": "double"}
     by = {r.doc_id: r for r in got.collect()}
     assert len(by) == 200 and all(by[r.doc_id].n_tokens == len(r.text.split()) and by[r.doc_id].rate >= 0 for r in docs.collect())
+
+
+def test_rates_are_held_between_steps(spark, monkeypatch):
+    """A pass goes over the last steps only, whatever their number, and gives what all steps give."""
+    from ledgerlark.llm import mixing
+
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.4, 0.3, 0.3], 200)
+    table = spark.createDataFrame([(k % 50 + 1, *map(float, x)) for k, x in enumerate(p)], "__tokens long, __p_clean double, __p_low double, __p_toxic double")
+    longest, inner = [], mixing._state
+    monkeypatch.setattr(mixing, "HELD", 3)
+    monkeypatch.setattr(mixing, "_state", lambda history, *x: longest.append(len(history)) or inner(history, *x))
+    found = fit_rates(table, steps=10, tolerance=0.0)
+    assert len(found.steps) == 10 and max(longest) == 3
+    monkeypatch.setattr(mixing, "_state", inner)
+    rated = table.select("*", rate(found.steps).alias("r"))
+    # Constants aren't parsed for each row.
+    assert "split" not in rated._jdf.queryExecution().optimizedPlan().toString()
+    want = np.array(found.steps)
+    now, last = np.ones(200), np.ones(200)
+    for share, *m in want:
+        now, last = np.maximum(0, now + share * (now - last) - p @ m), now
+    assert np.allclose([r.r for r in rated.collect()], now, rtol=1e-9)
+    tokens = np.array([k % 50 + 1 for k in range(200)])
+    assert np.allclose([found.missed[d] for d in DOMAINS], (tokens * now) @ p / tokens.sum() - [mixing.TARGETS[d] for d in DOMAINS], atol=1e-9)
