@@ -13,7 +13,7 @@ bits finds few of them. This module completes it, and verifies all it finds:
    its passages, and ``KEYS`` at most. So a passage that a third of all texts have brings
    nobody together unless a text has hardly anything else.
 4. Classes that keep the same passage are compared by their whole sets, and give a forest
-   of verified links. A crowded passage is dealt out in blocks; four classes of it are in
+   of verified links; of passages that the same classes keep, one does for all. A crowded passage is dealt out in blocks; four classes of it are in
    all its blocks and join them, so a group of kin costs time in proportion to its size.
 5. Steps 3 and 4 are quick and find nearly all; they may miss links. A prefix filter over
    the shingles themselves completes them: in any one order of all shingles, two sets of a
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -148,17 +148,33 @@ def _forest(rows: list[tuple], similarity: float) -> tuple[list[int], list[int]]
 
 def alike(parts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS, most: int = KEYS, hints: DataFrame | None = None) -> DataFrame:
     """(a, b): verified links between classes ``th`` of stored text_parts, nearly all that there are up to components; ``hints`` (th, key) are further groups to compare."""
-    pairs = parts.select("th", "n_keys", F.explode("keys").alias("key"))
-    often = stored(pairs.groupBy("key").agg(F.min("th").alias("x"), F.max("th").alias("y")).where("x <> y").select("key"), "often")
-    known = stored(pairs.join(often, "key").groupBy("th", "n_keys", "key").agg(F.count("*").alias("copies")).drop("copies"), "known")
-    classes = known.groupBy("key").agg(F.count("*").alias("df"))
-    ordered = F.array_sort(F.collect_list(F.struct("df", "key")))
-    per = stored(known.join(classes, "key"), "ranked").groupBy("th", "n_keys").agg(ordered.alias("x"))
-    # Of n keys, n - ceil(SHARE * n) + 1 are needed; those that are in no other class are the rarest of all.
-    need = F.least(F.lit(most), F.size("x") - F.ceil(F.col("n_keys") * SHARE) + 1)
-    chosen = stored(per.where(need > 0).select("th", F.explode(F.slice("x", F.lit(1), need.cast("int"))).alias("k")).select("th", F.col("k.key").alias("key")), "chosen")
-    chosen = stored(chosen.unionByName(hints), "hinted") if hints else chosen
-    return _compared(chosen.withColumn("root", F.col("th")), parts, similarity, block_rows)
+    spark = parts.sparkSession
+
+    def chosen() -> DataFrame:
+        pairs = parts.select("th", "n_keys", F.explode("keys").alias("key"))
+        often = stored(pairs.groupBy("key").agg(F.min("th").alias("x"), F.max("th").alias("y")).where("x <> y").select("key"), "often")
+        known = stored(pairs.join(often, "key").groupBy("th", "n_keys", "key").agg(F.count("*").alias("copies")).drop("copies"), "known")
+        classes = known.groupBy("key").agg(F.count("*").alias("df"))
+        ordered = F.array_sort(F.collect_list(F.struct("df", "key")))
+        per = stored(known.join(classes, "key"), "ranked").groupBy("th", "n_keys").agg(ordered.alias("x"))
+        # Of n keys, n - ceil(SHARE * n) + 1 are needed; those that are in no other class are the rarest of all.
+        need = F.least(F.lit(most), F.size("x") - F.ceil(F.col("n_keys") * SHARE) + 1)
+        kept = per.where(need > 0).select("th", F.explode(F.slice("x", F.lit(1), need.cast("int"))).alias("k")).select("th", F.col("k.key").alias("key"))
+        kept = stored(kept.unionByName(hints) if hints else kept, "chosen")
+        groups = kept.groupBy("key").agg(F.min("th").alias("x"), F.max("th").alias("y"), *_members())
+        return kept.join(stored(_one_each(groups.where("x <> y")), "one"), "key", "left_semi")
+
+    return _compared(settled(spark, chosen, "chosen").withColumn("root", F.col("th")), parts, similarity, block_rows)
+
+
+def _members() -> list[Column]:
+    """Aggregates over distinct ``th`` that are equal for equal groups only, but for collisions of 128 bits."""
+    return [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(seed), "th")).alias(f"m{seed}") for seed in range(2)]]
+
+
+def _one_each(groups: DataFrame) -> DataFrame:
+    """One key of each group of classes: keys that stand in the same classes would have them compared again."""
+    return groups.groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key")
 
 
 def _compared(chosen: DataFrame, parts: DataFrame, similarity: float, block_rows: int) -> DataFrame:
@@ -269,10 +285,16 @@ def prefix_links(parts: DataFrame, linked: DataFrame, similarity: float = SIMILA
 
     rows = mapped(parts.select("th", "shingles"), run, "th long, shingle int")
     one = Window.partitionBy("shingle")
-    open_ = stored(rows.select("th", "shingle", F.min("th").over(one).alias("x"), F.max("th").over(one).alias("y")).where("x <> y").select("th", "shingle"), "open").distinct()
-    rooted = stored(open_.join(linked.withColumnRenamed("node", "th"), "th", "left").select("th", F.col("shingle").cast("long").alias("key"), F.coalesce("root", "th").alias("root")), "rooted")
-    across = stored(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "across")
-    pairs = stored(_possible(stored(rooted.join(across, "key"), "apart"), parts, similarity).distinct(), "possible")
+    spark = parts.sparkSession
+
+    def possible() -> DataFrame:
+        open_ = stored(rows.select("th", "shingle", F.min("th").over(one).alias("x"), F.max("th").over(one).alias("y")).where("x <> y").select("th", "shingle"), "open").distinct()
+        rooted = stored(open_.join(linked.withColumnRenamed("node", "th"), "th", "left").select("th", F.col("shingle").cast("long").alias("key"), F.coalesce("root", "th").alias("root")), "rooted")
+        groups = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), *_members())
+        across = stored(_one_each(groups.where("x <> y")), "across")
+        return _possible(stored(rooted.join(across, "key"), "apart"), parts, similarity).distinct()
+
+    pairs = settled(spark, possible, "possible")
     both = F.explode(F.array(*[F.struct(F.col(c).alias("th"), F.col(f"root_{c}").alias("root")) for c in "ab"])).alias("x")
     chosen = pairs.select(F.xxhash64("a", "b").alias("key"), both).select("x.th", "key", "x.root")
     return _compared(stored(chosen, "pairs"), parts, similarity, block_rows)
@@ -383,6 +405,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Null and empty texts are one group. A row without id stays.
     """
-    found = near_copies(docs, doc_id, text)
-    going = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(stored(going, "going"), doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    def going() -> DataFrame:
+        found = near_copies(docs, doc_id, text)
+        return found.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+
+    return docs.join(settled(docs.sparkSession, going, "going"), doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
 from .bwt import repeated_starts
-from .shared import mapped, stored
+from .shared import mapped, settled, stored
 from .textblocks import BLOCK_BYTES, SpanHash, blocks, mixed, ranges
 
 #: Bytes of an anchor.
@@ -251,7 +251,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     equal in both repeat each other, so all of such a text from 200 bytes on goes.
     """
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    where = repeated_ranges(named, least, limit)
+    # The ranges are few; what led to them goes before the texts are joined with them.
+    where = settled(docs.sparkSession, lambda: repeated_ranges(named, least, limit), "ranges")
     per_doc = where.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__key")).agg(F.collect_list(F.struct("low", "len")).alias("__ranges"))
     new = [prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept")]
     packed = _packed(docs.drop(*[c for c in new if c not in (doc_id, text)]), text)

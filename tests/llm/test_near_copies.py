@@ -1,5 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
+
+from ledgerlark.llm import near_copies as module
+from ledgerlark.llm import shared
+from ledgerlark.llm.components import connected_components
 from ledgerlark.llm.near_copies import alike, keep_one, near_copies, prefix_links, text_parts
 from ledgerlark.llm.shared import stored
 
@@ -149,3 +154,29 @@ def test_nulls_ties_and_clashing_columns(spark):
     kept = keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.th for r in kept.collect()) == [2, 3, 4, 6, 7]
     assert keep_one(docs.limit(0)).count() == 0
+
+
+def test_equal_groups_are_compared_once(spark, monkeypatch):
+    """Passages that stand in the same classes bring these together a single time; the links stay."""
+    rng = random.Random(31)
+    texts = {}
+    for k in range(0, 60, 3):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for j in range(3):
+            texts[k + j] = " ".join([*words[: 280 - j], f"end{k + j}"])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    parts = stored(text_parts(docs), "parts")
+    seen, inner = [], module._compared
+    monkeypatch.setattr(module, "_compared", lambda chosen, *x: seen.append(chosen) or inner(chosen, *x))
+    links = connected_components(alike(parts))
+    assert links.select("root").distinct().count() == 20 and links.count() == 60
+    groups = seen[0].groupBy("key").agg(F.sort_array(F.collect_set("th")).alias("g"))
+    assert groups.count() == groups.select("g").distinct().count()
+
+
+def test_what_led_to_the_result_is_dropped(spark):
+    """After ``keep_one`` only the ids that go are left on disk."""
+    docs = spark.createDataFrame([(k, f"text {k // 2}") for k in range(20)], "doc_id long, text string")
+    before = len(shared._MADE.__dict__.get("paths", []))
+    out = keep_one(docs)
+    assert len(shared._MADE.paths) - before == 1 and out.count() == 10
