@@ -20,6 +20,7 @@ bits finds few of them. This module completes it, and verifies all it finds:
    similarity of 0.8 share one of the first n - ceil(0.8 n) + 1 of each. Only classes in
    different components so far are compared, and first by the parities of how many
    shingles fall on each of 1,024 bits: sets differ in as many shingles as bits at least.
+   Pairs that this leaves are looked at with as many bits as they have shingles.
    So this costs little, and it is exact. The order puts frequent shingles last as far as a
    sketch of fixed size knows them; its errors cost time, never a link.
 
@@ -52,7 +53,7 @@ BLOCK_ROWS, BLOCK_SIZE = 1024, 4 << 20
 #: Places of each of the two rows of the sketch that orders shingles, and shingles that a task counts together.
 _SKETCH, _COUNTED = 1 << 20, 8 << 20
 #: Bits of the parities that stand for a set, and classes in a block of them.
-_PARITY, _PARITY_ROWS = 1024, 1024
+_POWER, _PARITY_ROWS = 10, 1024
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP_BACK = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 
@@ -294,25 +295,51 @@ def prefix_links(parts: DataFrame, linked: DataFrame, similarity: float = SIMILA
         across = stored(_one_each(groups.where("x <> y")), "across")
         return _possible(stored(rooted.join(across, "key"), "apart"), parts, similarity).distinct()
 
-    pairs = settled(spark, possible, "possible")
+    pairs = settled(spark, lambda: _still_possible(settled(spark, possible, "possible"), parts, similarity), "pairs")
     both = F.explode(F.array(*[F.struct(F.col(c).alias("th"), F.col(f"root_{c}").alias("root")) for c in "ab"])).alias("x")
     chosen = pairs.select(F.xxhash64("a", "b").alias("key"), both).select("x.th", "key", "x.root")
     return _compared(stored(chosen, "pairs"), parts, similarity, block_rows)
 
 
-def _parities(parts: DataFrame) -> DataFrame:
-    """(th, size, bits) of each row of text_parts."""
+def _parities(parts: DataFrame, scaled: bool = False) -> DataFrame:
+    """(th, size, bits) of each row of text_parts; if ``scaled``, a set has a power of two of bits, its size or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]
             # The prefix's order and this one take different bits of the hash.
-            bits = [np.packbits(np.bincount(x >> np.uint32(22), minlength=_PARITY) & 1).tobytes() for x in sets]
+            powers = [max(_POWER, (len(x) - 1).bit_length()) if scaled else _POWER for x in sets]
+            bits = [np.packbits(np.bincount(x >> np.uint32(32 - p), minlength=1 << p) & 1).tobytes() for x, p in zip(sets, powers, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(bits, pa.binary())], ["th", "size", "bits"])
 
     return mapped(parts.select("th", "shingles"), run, "th long, size int, bits binary")
 
 
+def _differing(one: bytes, two: bytes) -> int:
+    """Bits in which two parities differ; the longer is folded to the other's length."""
+    a, b = (np.unpackbits(np.frombuffer(x, np.uint8)) for x in (one, two))
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(n, -1), axis=1) for x in (a, b))
+    return int(np.count_nonzero(a != b))
+
+
+def _still_possible(pairs: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """Those of stored ``pairs`` that parities as long as the sets don't rule out: for large sets 1,024 bits differ too little to tell."""
+    ths = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    known = stored(_parities(parts, scaled=True).join(stored(ths, "ths"), "th").groupBy("th").agg(F.min("size").alias("size"), F.min("bits").alias("bits")), "scaled")
+    one, two = (known.select(F.col("th").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    apart = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size_a, size_b, bits_a, bits_b = (c.to_pylist() for c in batch.columns[4:])
+            keep = [_differing(x, y) <= apart * (m + n) + 1e-6 for m, n, x, y in zip(size_a, size_b, bits_a, bits_b, strict=True)]
+            yield batch.select(["a", "b", "root_a", "root_b"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "root_a", "root_b", "size_a", "size_b", "bits_a", "bits_b")
+    return mapped(rows, run, "a long, b long, root_a long, root_b long")
+
+
 def _possible(chosen: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
     """(a, b, root_a, root_b), a < b: pairs of a key and different roots in ``chosen`` that sizes and parities don't rule out.
 

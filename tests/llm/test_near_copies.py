@@ -180,3 +180,18 @@ def test_what_led_to_the_result_is_dropped(spark):
     before = len(shared._MADE.__dict__.get("paths", []))
     out = keep_one(docs)
     assert len(shared._MADE.paths) - before == 1 and out.count() == 10
+
+
+def test_scaled_parities_tell_large_sets_apart(spark):
+    """Large strangers that 1,024 bits can't tell apart are ruled out; alike ones of different lengths of bits stay."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base = words(4200)
+    texts = [" ".join(x) for x in (base, [*base[:4000], "end"], words(4200), words(4100))]
+    parts = stored(text_parts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "parts")
+    th = [r.th for r in parts.orderBy("doc_id").collect()]
+    pairs = stored(spark.createDataFrame([(*sorted((th[i], th[j])), 1, 2) for i in range(4) for j in range(i)], "a long, b long, root_a long, root_b long"), "pairs")
+    left = module._still_possible(pairs, parts, 0.8).collect()
+    assert [(r.a, r.b) for r in left] == [tuple(sorted(th[:2]))]
+    bits = {r.th: bytes(r.bits) for r in module._parities(parts).collect()}
+    assert module._differing(bits[th[0]], bits[th[2]]) < 0.2 / 1.8 * 8300
